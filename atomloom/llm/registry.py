@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import source_mix
+from . import near_dup, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": near_dup.op2_near_duplicates,
     "op6_source_mix": source_mix.op6_source_mix,
 }
 
