@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, source_mix
+from . import decontaminate, near_dup, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": near_dup.op2_near_duplicates,
     "op6_source_mix": source_mix.op6_source_mix,
+    "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mix": source_mix.OP6_SQL,
+    "op7_benchmark_leaks": decontaminate.OP7_SQL,
 }
