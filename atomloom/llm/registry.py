@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, source_mix
+from . import decontaminate, near_dup, source_mix, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_near_duplicates": near_dup.op2_near_duplicates,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.OP1_SQL,
     "op6_source_mix": source_mix.OP6_SQL,
     "op7_benchmark_leaks": decontaminate.OP7_SQL,
 }
