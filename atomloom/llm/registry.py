@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, source_mix, url_filter
+from . import decontaminate, language_id, near_dup, source_mix, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_near_duplicates": near_dup.op2_near_duplicates,
+    "op4_language_id": language_id.op4_language_id,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
 }

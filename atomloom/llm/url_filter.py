@@ -50,8 +50,11 @@ RULES: Sequence[tuple[int, str, str, int]] = (
     (14, "ththon.example.com/es/10646/", "allow", 10),
     (15, "ththon.example.com/es/", "block", 10),
     (16, "example.edu/", "block", 50),
-    (17, "spam-farm.example.com/", "block", 100),
-    (18, "free-bets.example.com/", "block", 100),
+    *(
+        (100 + 3 * i + k, f"{name}.example.{tld}/", "block", 100)
+        for i, name in enumerate(("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"))
+        for k, tld in enumerate(("com", "net", "org"))
+    ),
 )
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
