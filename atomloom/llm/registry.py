@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, near_dup, source_mix, url_filter
+from . import decontaminate, language_id, near_dup, source_mix, token_file, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language_id.op4_language_id,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
+    "op9_token_file": token_file.op9_token_file,
 }
 
 ORACLE_SQL: dict[str, str] = {
