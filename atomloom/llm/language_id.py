@@ -85,16 +85,21 @@ def totals(cuts: np.ndarray) -> np.ndarray:
 
 
 def _counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count) and each text's total."""
-    grams, cuts = ngrams(column)
-    keys = []
-    for order, h in zip(ORDERS, grams):
-        n = np.maximum(np.diff(cuts) - order + 1, 0)
-        row = np.repeat(np.arange(len(n)), n)
-        at = np.arange(n.sum()) + np.repeat(cuts[:-1] - (np.cumsum(n) - n), n)
-        keys.append(row.astype(np.int64) << HASH_BITS | h[at])
-    key, count = np.unique(np.concatenate(keys), return_counts=True)
-    return key >> HASH_BITS, key & ((1 << HASH_BITS) - 1), count, totals(cuts)
+    """(row, feature, count) and each text's total; a few texts at a time, as all n-grams together are large."""
+    found, total = [], np.zeros(len(column), np.int64)
+    for i, j in tk.chunks(tk.flat_text(column)[1]):
+        grams, cuts = ngrams(column.slice(i, j - i))
+        total[i:j] = totals(cuts)
+        keys = []
+        for order, h in zip(ORDERS, grams):
+            n = np.maximum(np.diff(cuts) - order + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) + np.repeat(cuts[:-1] - (np.cumsum(n) - n), n)
+            keys.append(row << HASH_BITS | h[at])
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        found.append(((i + (key >> HASH_BITS)).astype(np.int32), (key & ((1 << HASH_BITS) - 1)).astype(np.int32), count.astype(np.int32)))
+    row, feature, count = (np.concatenate(x) for x in zip(*found))
+    return row, feature, count, total
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -241,8 +246,11 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     require(docs, "doc_id", "text", "lang")
     labelled = docs.where("lang is not null and length(text) > 0").select("text", F.col("lang").alias("y"), F.xxhash64("doc_id", "text").alias("h"))
-    # The text comes last in the order: it decides only between rows of equal hash.
-    sample = labelled.orderBy("h", "y", "text").limit(sample_rows).toArrow()
+    # First the hash up to which rows are taken, then these rows alone; so texts aren't sorted.
+    last = labelled.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    sample = labelled.where(F.col("h") <= last).orderBy("h", "y", "text").limit(sample_rows).toArrow()
     if not sample.num_rows:
         return None
     df, n = document_frequency(docs)
