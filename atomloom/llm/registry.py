@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, near_dup, source_mix, tiff, token_count, token_file, url_filter, warc
+from . import decontaminate, language_id, near_dup, source_mix, suffix_dedup, tiff, token_count, token_file, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_count": token_count.op5_token_count,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_token_file": token_file.op9_token_file,
     "op10_tiff_pages": tiff.op10_tiff_pages,
 }

@@ -1,18 +1,51 @@
-"""The corpus pipeline: language, near duplicates, benchmark leaks, source mix, token files."""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, source mix, token files.
+
+Every stage takes the documents that its predecessor kept, with all their
+columns, and decides on its own input: the language model is trained and its
+document frequencies are counted on what it is given, groups of near
+duplicates, leaks and token budgets likewise.  SQL has no twin of the trained
+model, so ORACLE_SQL is None and the tests compare with brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atomloom.llm import source_mix
+from atomloom.llm import decontaminate, language_id, near_dup, source_mix, token_file
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is recognised."""
+    return language_id.keep_accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return near_dup.drop_near_duplicates(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents of the largest mix of sources at their target weights."""
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a test item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the largest mix of sources at their target weights."""
     return source_mix.select_documents(docs)
 
 
-STAGES = [("mix", mix)]
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences and masks as Arrow streams."""
+    return token_file.token_streams(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID / binary output", token_files),
+]
 ORACLE_SQL = None
 
 
