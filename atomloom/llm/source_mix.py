@@ -1,8 +1,10 @@
 """Operator 6: mix sources to target weights by hash thresholds.
 
-Each document has a 60-bit hash of its id.  Of each source the documents of
-the lowest hashes are taken, as many as the source's token budget allows, so
-a mix of a smaller budget is a subset of every mix of a larger one.  The
+A source's budget is its weight's share of the level's percentage of all tokens.
+A source that has less gives all it has (no document is repeated); one that has
+more is cut.  Each document has a 60-bit hash of its id, and of each source the
+documents of the lowest hashes are taken, as many as the budget allows, so a mix
+of a smaller budget is a subset of every mix of a larger one.  The
 threshold of each (source, level) comes from a histogram of tokens over hash
 buckets: find the bucket in which the budget ends, split only that bucket by
 the hash's next bits, and so on, until the hash has no bits left.  Documents
@@ -34,7 +36,7 @@ BUCKET_BITS = 12
 #: Target weights, whole numbers; sources that aren't named have DEFAULT_WEIGHT.
 WEIGHTS: Mapping[str, int] = {"src0": 4}
 DEFAULT_WEIGHT = 1
-#: Nested budgets in percent of the largest mix that no source has to be repeated for.
+#: Nested budgets, in percent of all tokens; each is split over the sources by weight.
 LEVELS: Sequence[int] = (25, 50, 100)
 SEED = "mix"
 
@@ -79,11 +81,11 @@ def thresholds(
     top = cut(narrow.groupBy("mix_source", F.shiftright("mix_hash", shift).alias("bucket")).agg(F.sum("mix_tokens").alias("t")))
     weight = _weight(F.col("mix_source"), weights, default_weight)
     total = top.groupBy("mix_source").agg(F.sum("t").alias("total")).withColumn("w", weight).where("w > 0")
-    unit = total.where("total > 0").agg(F.min(F.expr("total div w")).alias("unit"))
+    whole = total.agg(F.sum("total").alias("all_tokens"), F.sum("w").alias("all_w"))  # one row
     budget = (
-        total.crossJoin(F.broadcast(unit))
-        .select("mix_source", "w", "unit", F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("i", "percent"))
-        .select("mix_source", (F.col("i") + 1).alias("mix_level"), F.expr("coalesce(unit, 0) * w * percent div 100").alias("left"))
+        total.crossJoin(F.broadcast(whole))
+        .select("mix_source", F.expr("all_tokens * w div all_w").alias("b"), F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("i", "percent"))
+        .select("mix_source", (F.col("i") + 1).alias("mix_level"), F.expr("b * percent div 100").alias("left"))
     )
     # state: all hashes below base are in; of the bucket from base on, `left` tokens may still come in.
     state = budget.withColumn("base", F.lit(0).cast("bigint"))
@@ -160,7 +162,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(weights: Mapping[str, int], default: int, levels: Sequence[int]) -> str:
     case = " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items())
-    caps = ", ".join(f"unit * w * {p} // 100 AS b{i}" for i, p in enumerate(sorted(levels), 1))
+    caps = ", ".join(f"b * {p} // 100 AS b{i}" for i, p in enumerate(sorted(levels), 1))
     which = " ".join(f"WHEN cum <= b{i} THEN {i}" for i in range(1, len(levels) + 1))
     last = len(levels)
     return f"""
@@ -171,8 +173,9 @@ WITH d AS (
   FROM documents),
 total AS (
   SELECT k, CAST(sum(n_tokens) AS BIGINT) AS total, CASE k {case} ELSE {default} END AS w FROM d GROUP BY k),
-unit AS (SELECT min(total // w) AS unit FROM total WHERE w > 0 AND total > 0),
-budget AS (SELECT k, {caps} FROM total, unit WHERE w > 0),
+part AS (
+  SELECT k, CAST(sum(total) OVER () AS BIGINT) * w // CAST(sum(w) OVER () AS BIGINT) AS b FROM total WHERE w > 0),
+budget AS (SELECT k, {caps} FROM part),
 run AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY k ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d)
 SELECT doc_id, source, n_tokens, CAST(CASE {which} END AS BIGINT) AS mix_level
