@@ -59,14 +59,14 @@ def triplet_index(neighbours: DataFrame, cutoff: Radial) -> DataFrame:
         F.struct("j", "ox", "oy", "oz").alias(f"key{n}"),
         F.col("species_i").alias(f"root{n}"),
         F.col("j").alias(f"j{n}"),
-        F.col("species_j").alias(f"s{n}"),
+        F.col("species_j").alias(f"species{n}"),
         F.col("d").alias(f"r0{n}"),
         *[F.col(f"r{c}").alias(f"{c}{n}") for c in "xyz"],
     )
     both = side(1).join(side(2).drop("root2"), ["structure_id", "i"]).where(F.col("key1") < F.col("key2"))
     r01, r02 = F.col("r01"), F.col("r02")
     far = {f"{c}12": F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"}
-    t = both.withColumns(far | {"k1": F.col("root1"), "k2": F.least("s1", "s2"), "k3": F.greatest("s1", "s2")})
+    t = both.withColumns(far | {"k1": F.col("root1"), "k2": F.least("species1", "species2"), "k3": F.greatest("species1", "species2")})
     t = t.withColumn("r12", F.sqrt(sum(F.col(f"{c}12") * F.col(f"{c}12") for c in "xyz")))
     q = expr.triplet_invariants(r01, r02, F.col("r12"))
     cuts = {"f1": cutoff.value(r01), "f2": cutoff.value(r02), "df1": cutoff.slope(r01), "df2": cutoff.slope(r02)}

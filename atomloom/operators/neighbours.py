@@ -63,3 +63,10 @@ def find_neighbours(structures: DataFrame, atoms: DataFrame, cutoff: float) -> D
     near = a.join(images, "structure_id").where((square > 0) & (square <= cutoff * cutoff))
     pairs = near.withColumns(r | {"d": F.sqrt(square)})
     return pairs.select("structure_id", "i", "j", "species_i", "species_j", "ox", "oy", "oz", "rx", "ry", "rz", "d")
+
+
+def open_neighbours(atoms: DataFrame, cutoff: float) -> DataFrame:
+    """Neighbours without periodic images, in the columns of ``find_neighbours``."""
+    p = range_pairs(atoms, cutoff, "structure_id", "atom_id", ("x", "y", "z"), ("species",))
+    zero = F.lit(0.0)
+    return p.select("structure_id", "i", "j", "species_i", "species_j", zero.alias("ox"), zero.alias("oy"), zero.alias("oz"), *[F.col(f"r_{c}").alias(f"r{c}") for c in "xyz"], "d")

@@ -86,7 +86,7 @@ def repeat(structures: DataFrame, atoms: DataFrame, a: int, b: int, c: int) -> t
     big = big.withColumns({"x": F.col("x") + shift(0), "y": F.col("y") + shift(1), "z": F.col("z") + shift(2), "atom_id": F.col("atom_id") + image * F.col("n_cell")})
     null = F.lit(None).cast("double")
     big = big.withColumns({k: null for k in ("sx", "sy", "sz")}).select(*atoms.columns)
-    rows = F.array(*[F.transform(F.col("lattice")[r], lambda x, k=k: x * k) for r, k in enumerate((a, b, c))])
+    rows = F.array(*[F.array(*[F.col("lattice")[r][x] * k for x in range(3)]) for r, k in enumerate((a, b, c))])
     cells = structures.withColumns(
         {
             "lattice": rows,
