@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from atomloom.plans.registry import build, register
 
+from . import sigmas as _sigmas  # noqa: F401  (registers the rules)
 from .descriptors import Descriptor
 from .neighbours import find_neighbours
 from .potentials import Composite, Gap, IsolatedAtom, predict, read_potential
