@@ -185,6 +185,7 @@ def _leak_rows(block, k: int, threshold: float):
                 [b.column(0).take(pa.array(row)), ids, pa.array(shared.astype(np.int64)), pa.array(items.size[item].astype(np.int64))],
                 ["doc_id", "item_id", "n_shared", "n_shingles"],
             )
+        tk.release()
 
     return run
 
@@ -196,6 +197,7 @@ def _clean_rows(block, at: int, k: int, threshold: float):
             keep = np.ones(b.num_rows, bool)
             keep[search(b.column(at), items, k, threshold)[0]] = False
             yield b.filter(pa.array(keep))
+        tk.release()
 
     return run
 

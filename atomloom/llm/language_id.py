@@ -130,6 +130,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                             # An n-gram that starts just before its text's end isn't one.
                             seen[(base + h)[inside]] = True
                     df += seen.reshape(len(part), width).sum(0)
+        tk.release()
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["df", "n"])
 
     df, n = np.zeros(width, np.int64), 0
@@ -281,6 +282,7 @@ def identify(docs: DataFrame, model: Model | None = None, min_prob: float = MIN_
         for b in batches:
             lang, prob, ok = _score(shared.value, b.column(1), min_prob)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.round(prob, 6)), pa.array(ok)], ["doc_id", "lang_pred", "confidence", "accepted"])
+        tk.release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, confidence double, accepted boolean")
 
@@ -294,6 +296,7 @@ def keep_accepted(docs: DataFrame, model: Model | None = None, min_prob: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(_score(shared.value, b.column(at), min_prob)[2]))
+        tk.release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -133,7 +133,7 @@ class BKTree:
         else:
             self.child = np.zeros(0, np.int32)
 
-    def within(self, queries: np.ndarray, radius: int, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, queries: np.ndarray, radius: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Indices (query, node) of all pairs at most ``radius`` apart."""
         hits = []
         for start in range(0, len(queries), batch):
@@ -245,6 +245,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [ids.filter(pa.array(has)), pa.array(fp[has, 0].view(np.int64)), pa.array(fp[has, 1].view(np.int64))], ["doc_id", "f0", "f1"]
             )
+        tk.release()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, f0 long, f1 long")
 
@@ -256,6 +257,7 @@ def _searcher(shard, radii: list[int], radius: int):
         a, b = shard.value.pairs(j, radii[j], fp, pdf.rep.to_numpy(), radius)
         if len(a):
             a, b = forest(a, b)
+        tk.release()
         return pd.DataFrame({"a": a, "b": b})
 
     return run

@@ -145,3 +145,15 @@ def shingle_hashes(words: np.ndarray, cuts: np.ndarray, k: int) -> tuple[np.ndar
         else:
             h += words[at + j]
     return mix(h), out_cuts
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task, and executors' limits count what they keep."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -49,7 +49,7 @@ SEQUENCE = 1024
 BATCH_SEQUENCES = 256
 STREAM_SEQUENCES = 4096
 #: A worker forgets its pieces' ids when it has so many.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 SCHEMA = "n_sequences long, n_tokens long, doc_ids array<long>, positions array<int>, stream binary"
 
 _ENCODERS: dict[str, object] = {}
@@ -214,7 +214,7 @@ def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = S
             column, ids = b.column(1), b.column(0)
             null = ids.is_null().to_numpy(zero_copy_only=False)
             doc = pc.fill_null(ids, -1).to_numpy()
-            for i, j in tk.chunks(tk.flat_text(column)[1], 4 * tk.CHUNK_BYTES):
+            for i, j in tk.chunks(tk.flat_text(column)[1]):
                 row, pos, tokens, mask = sequences(*tokenise(column.slice(i, j - i)), length)
                 held.append((doc[i:j][row], null[i:j][row], pos, tokens, mask))
                 count += len(row)
@@ -222,6 +222,8 @@ def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = S
                     yield flush(STREAM_SEQUENCES)
         if count:
             yield flush(count)
+        del tokenise, held
+        tk.release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
