@@ -61,3 +61,15 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+
+
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``df`` with its columns renamed so that none can clash, copies of the named ones in front, and the way back."""
+    back = [(f"_c{i}", c) for i, c in enumerate(df.columns)]
+    plain = df.toDF(*[a for a, _ in back])
+    at = {c: a for a, c in back}
+    return plain.select(*[F.col(at[n]).alias(n) for n in names], *[a for a, _ in back]), back
+
+
+def unshielded(df: DataFrame, back: list[tuple[str, str]]) -> DataFrame:
+    return df.select(*[F.col(a).alias(c) for a, c in back])

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernels as tk
-from .common import cut, read, require, sized
+from .common import cut, read, require, shielded, sized, unshielded
 
 RADIUS = 18
 BLOCKS = 8
@@ -338,18 +338,20 @@ def mark(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents that stay: one of each group, with the columns of ``docs``."""
-    gone = cut(groups(docs, radius).where("doc_id <> group_id").select(F.col("doc_id").alias("nd_gone")))
-    repeated = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("nd_repeated")).agg(F.count(F.lit(1)).alias("nd_n")).where("nd_n > 1").select("nd_repeated"))
-    kept = docs.join(sized(gone, gone.count(), 16), F.col("doc_id") == F.col("nd_gone"), "left_anti")
+    gone = cut(groups(docs, radius).where("doc_id <> group_id").select(F.col("doc_id").alias("gone")))
+    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")))
+    plain, back = shielded(docs, "doc_id", "text")
+    kept = plain.join(sized(gone, gone.count(), 16), F.col("doc_id") == F.col("gone"), "left_anti")
     n = repeated.count()
     if not n:
-        return kept
+        return unshielded(kept, back)
     # Only the rows that share a doc_id are moved.
     again = sized(repeated, n, 16)
-    single = kept.join(again, F.col("doc_id") == F.col("nd_repeated"), "left_anti")
-    rows = kept.join(again, F.col("doc_id") == F.col("nd_repeated"), "left_semi")
+    single = kept.join(again, F.col("doc_id") == F.col("again"), "left_anti")
+    rows = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi")
     w = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-    return single.unionByName(rows.withColumn("nd_rank", F.row_number().over(w)).where("nd_rank = 1").drop("nd_rank"))
+    one = rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    return unshielded(single.unionByName(one), back)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read, require, sized
+from .common import cut, read, require, shielded, sized, unshielded
 
 HASH_BITS = 60
 BUCKET_BITS = 12
@@ -143,11 +143,9 @@ def _joined(docs: DataFrame, limits: DataFrame) -> DataFrame:
 
 def select_documents(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS) -> DataFrame:
     """The documents of the largest mix, with the columns that ``docs`` has."""
-    clean = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    named = clean.withColumns({"doc_id": F.col(at["doc_id"]), "source": F.col(at["source"])})
-    out = _joined(named, thresholds(docs, weights, default_weight, levels))
-    return out.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    require(docs, "doc_id", "text", "source")
+    plain, back = shielded(docs, "doc_id", "source")
+    return unshielded(_joined(plain, thresholds(docs, weights, default_weight, levels)), back)
 
 
 def assign_levels(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS) -> DataFrame:

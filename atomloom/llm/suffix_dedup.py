@@ -340,7 +340,7 @@ def _stretches(words: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b - a >= WINDOW]
 
 
-def _solve(tasks: int):
+def _solve(tasks: int, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         st = Stretches()
 
@@ -364,7 +364,7 @@ def _solve(tasks: int):
                     own = words[cuts[k - i] : cuts[k - i + 1]]
                     for a, e in _stretches(own, np.sort(places[k].values.to_numpy())):
                         st.add(ids[k], copies[k], a, own[a:e])
-                if st.size >= SHARD_WORDS:
+                if st.size >= shard_words:
                     yield from flush()
                     st = Stretches()
         if st.size:
@@ -384,7 +384,7 @@ def _batch(task: int | None, run: bytes | None, spans: pd.DataFrame | None) -> p
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())] + [pa.array(spans[c].to_numpy(np.int64)) for c in spans], schema=_MIXED_ARROW)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id): the repeated spans of all documents."""
     require(docs, "doc_id", "text")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
@@ -408,7 +408,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         joined = joined.withColumn("copy", F.lit(0).cast("bigint"))
     words = (size[1] or 0) * (SPREAD // 2)
     tasks = int(max(1, min(4096, words >> 20)))
-    mixed = cut(joined.select("doc_id", "text", "places", "copy").mapInArrow(_solve(tasks), _MIXED))
+    mixed = cut(joined.select("doc_id", "text", "places", "copy").mapInArrow(_solve(tasks, shard_words), _MIXED))
     merged = mixed.where("task is not null").select("task", "run").groupBy("task").applyInPandas(_merge_task, SPAN_SCHEMA)
     spans = mixed.where("task is null").drop("task", "run").unionByName(merged)
     return _join_spans(spans)
