@@ -15,10 +15,9 @@ file's bytes; ``write_streams`` puts them into a folder, with names that don't
 depend on the attempt.  The vocabulary's path is a parameter; it is read on the
 executors.
 
-Tokenising works on distinct pieces: a text is cut before each space (a cut at
-which the vocabulary's own pattern always cuts, unless two spaces meet; such
-texts are tokenised whole), each distinct piece of a batch is tokenised once,
-and ids are gathered.  There is no shuffle.
+Texts are tokenised where they are, one by one by the vocabulary's own compiled
+program (which is twice as fast as looking distinct words up in a table, as
+measured), and there is no shuffle.
 
 Defined cases: a null or empty text gives one sequence that holds the
 end-of-text id alone; a null doc_id is -1 in the stream and null in doc_ids;
@@ -48,8 +47,6 @@ SEQUENCE = 1024
 #: Sequences of a record batch, and of a stream (about 12 MB).
 BATCH_SEQUENCES = 256
 STREAM_SEQUENCES = 4096
-#: A worker forgets its pieces' ids when it has so many.
-CACHE_PIECES = 1 << 18
 SCHEMA = "n_sequences long, n_tokens long, doc_ids array<long>, positions array<int>, stream binary"
 
 _ENCODERS: dict[str, object] = {}
@@ -68,69 +65,12 @@ def encoder(path: str):
 class Tokeniser:
     def __init__(self, path: str):
         self.encode = encoder(path).encode_ordinary
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.size = np.zeros(1024, np.int64)
-        self.start = np.zeros(1024, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint16)
-        self.used = 0
-
-    def _number(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of the pieces; new ones are tokenised."""
-        known, out = self.known, np.empty(len(pieces), np.int64)
-        for i, p in enumerate(pieces):
-            k = known.get(p)
-            if k is None:
-                ids = self.encode(p)
-                k = known[p] = len(known)
-                if k >= len(self.size):
-                    self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                end = self.used + len(ids)
-                while end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : end] = ids
-                self.size[k], self.start[k] = len(ids), self.used
-                self.used = end
-            out[i] = k
-        return out
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and their offsets by text."""
-        column = pc.fill_null(column, "")
-        if len(self.known) > CACHE_PIECES:
-            self.forget()
-        whole = pc.match_substring(column, "  ").to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", column), " ")
-        cuts = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        first = np.zeros(len(number), bool)
-        first[cuts[:-1]] = True
-        # A text's first piece has no space before it.
-        code = number * 2 + first
-        distinct, code = np.unique(code, return_inverse=True)
-        k = self._number([words[c >> 1] if c & 1 else " " + words[c >> 1] for c in distinct.tolist()])[code]
-        size = self.size[k]
-        last = np.cumsum(size)
-        ids = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[k] - (last - size), size)]
-        offsets = np.concatenate([[0], last])[cuts]
-        if whole.any():
-            parts, at = [], 0
-            n = np.diff(offsets)
-            for i in np.flatnonzero(whole):
-                parts.append(ids[offsets[at] : offsets[i]])
-                own = np.array(self.encode(column[int(i)].as_py()), np.uint16)
-                parts.append(own)
-                n[i] = len(own)
-                at = i + 1
-            parts.append(ids[offsets[at] :])
-            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum(n)])
-        return ids, offsets
+        parts = [np.array(self.encode(t.as_py() or ""), np.uint16) for t in column]
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint16), offsets
 
 
 def sequences(ids: np.ndarray, offsets: np.ndarray, length: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,16 +99,55 @@ def stream_schema(length: int) -> pa.Schema:
     )
 
 
-def write_stream(doc_id: np.ndarray, position: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> pa.Buffer:
-    length = ids.shape[1]
-    schema = stream_schema(length)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, schema) as writer:
-        for a in range(0, len(ids), BATCH_SEQUENCES):
-            b = slice(a, a + BATCH_SEQUENCES)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[b].reshape(-1)), type=schema.field(i).type) for i, x in ((2, ids), (3, mask))]
-            writer.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_id[b]), pa.array(position[b]), *lists], schema=schema))
-    return sink.getvalue()
+class StreamWriter:
+    """Writes sequences as they come, in whole record batches; only the file and part of a batch are held."""
+
+    def __init__(self, length: int):
+        self.schema, self.rest = stream_schema(length), []
+        self.doc_ids: list[int | None] = []
+        self.positions: list[int] = []
+        self.tokens = 0
+        self.sink = pa.BufferOutputStream()
+        self.writer = pa.ipc.new_stream(self.sink, self.schema)
+
+    def __len__(self) -> int:
+        return len(self.positions)
+
+    def add(self, doc: np.ndarray, null: np.ndarray, position: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> None:
+        self.doc_ids += [None if z else int(x) for x, z in zip(doc, null)]
+        self.positions += position.tolist()
+        self.tokens += int(mask.sum())
+        self.rest.append((doc, position, ids, mask))
+        if sum(len(x[0]) for x in self.rest) >= BATCH_SEQUENCES:
+            self._write(whole=False)
+
+    def _write(self, whole: bool) -> None:
+        parts = [np.concatenate(x) for x in zip(*self.rest)]
+        n = len(parts[0])
+        upto = n if whole else n - n % BATCH_SEQUENCES
+        for at in range(0, upto, BATCH_SEQUENCES):
+            doc, position, ids, mask = (x[at : min(at + BATCH_SEQUENCES, upto)] for x in parts)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), type=self.schema.field(i).type) for i, x in ((2, ids), (3, mask))]
+            self.writer.write_batch(pa.RecordBatch.from_arrays([pa.array(doc), pa.array(position), *lists], schema=self.schema))
+        self.rest = [tuple(x[upto:].copy() for x in parts)] if upto < n else []
+
+    def row(self) -> pa.RecordBatch:
+        """The finished stream as a row of SCHEMA; the file's bytes aren't copied."""
+        if self.rest:
+            self._write(whole=True)
+        self.writer.close()
+        data = self.sink.getvalue()
+        offsets = pa.py_buffer(np.array([0, data.size], np.int32))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([len(self)], pa.int64()),
+                pa.array([self.tokens], pa.int64()),
+                pa.array([self.doc_ids], pa.list_(pa.int64())),
+                pa.array([self.positions], pa.list_(pa.int32())),
+                pa.Array.from_buffers(pa.binary(), 1, [None, offsets, data]),
+            ],
+            ["n_sequences", "n_tokens", "doc_ids", "positions", "stream"],
+        )
 
 
 def read_sequence(source, index: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -187,42 +166,24 @@ def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = S
     require(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenise = Tokeniser(vocabulary)
-        held: list[tuple] = []
-        count = 0
-
-        def flush(n: int) -> pa.RecordBatch:
-            nonlocal held, count
-            doc, null, pos, ids, mask = (np.concatenate(x) for x in zip(*held))
-            head = [x[:n] for x in (doc, null, pos, ids, mask)]
-            held = [tuple(x[n:] for x in (doc, null, pos, ids, mask))] if len(doc) > n else []
-            count = len(doc) - n if len(doc) > n else 0
-            doc, null, pos, ids, mask = head
-            data = write_stream(doc, pos, ids, mask)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([len(doc)], pa.int64()),
-                    pa.array([int(mask.sum())], pa.int64()),
-                    pa.array([[None if z else int(x) for x, z in zip(doc, null)]], pa.list_(pa.int64())),
-                    pa.array([pos.tolist()], pa.list_(pa.int32())),
-                    pa.array([data.to_pybytes()], pa.binary()),
-                ],
-                ["n_sequences", "n_tokens", "doc_ids", "positions", "stream"],
-            )
-
+        tokenise, out = Tokeniser(vocabulary), StreamWriter(length)
         for b in batches:
             column, ids = b.column(1), b.column(0)
             null = ids.is_null().to_numpy(zero_copy_only=False)
             doc = pc.fill_null(ids, -1).to_numpy()
             for i, j in tk.chunks(tk.flat_text(column)[1]):
                 row, pos, tokens, mask = sequences(*tokenise(column.slice(i, j - i)), length)
-                held.append((doc[i:j][row], null[i:j][row], pos, tokens, mask))
-                count += len(row)
-                while count >= STREAM_SEQUENCES:
-                    yield flush(STREAM_SEQUENCES)
-        if count:
-            yield flush(count)
-        del tokenise, held
+                at = 0
+                while at < len(row):
+                    part = slice(at, at + STREAM_SEQUENCES - len(out))
+                    out.add(doc[i:j][row[part]], null[i:j][row[part]], pos[part], tokens[part], mask[part])
+                    at = part.stop
+                    if len(out) >= STREAM_SEQUENCES:
+                        yield out.row()
+                        out = StreamWriter(length)
+        if len(out):
+            yield out.row()
+        del tokenise, out
         tk.release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
