@@ -275,6 +275,8 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     # Whole tasks by (block, value range), and by shares of a range where it is crowded.
     share = max(1, n // (1 << 18))
     probes = prints.select("f0", "f1", "rep", spread).select("f0", "f1", "rep", "x.j", "x.r", F.pmod(F.col("f0"), F.lit(share)).alias("s"))
+    # A set number of tasks: the search is long for its few bytes, so tasks must not be merged by size.
+    tasks = BLOCKS * (65536 // VALUE_RANGE) * share
     edges = None
     for s in range(n_shards):
         t = prints.where(F.col("shard") == s).select("f0", "f1", "rep").toArrow()
@@ -282,7 +284,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             Shard(np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(tk.U64) if len(t) else np.zeros((0, 2), tk.U64), t["rep"].to_numpy())
         )
 
-        found = probes.groupBy("j", "r", "s").applyInPandas(_searcher(shard, radii, radius), "a long, b long")
+        found = probes.repartition(tasks, "j", "r", "s").groupBy("j", "r", "s").applyInPandas(_searcher(shard, radii, radius), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
     return edges
 
