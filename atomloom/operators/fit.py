@@ -130,7 +130,7 @@ def solve(factor: np.ndarray, prior: np.ndarray) -> np.ndarray:
     return np.linalg.solve(r[:, :m], r[:, m])
 
 
-@register("fit", "in_ram_jgap")
+@register("fit", "gap")
 def _gap_fit(spec: dict):
     return GapFit({k: build("descriptor", d) for k, d in spec["descriptors"].items()}, build("sigma_rules", spec["sigma_rules"]), float(spec.get("jitter", 1e-8)))
 

@@ -198,10 +198,10 @@ class Gap:
         return [d.terms(atoms, neighbours, d.table(spark, spread=False), spread=False) for _, d in sorted(self.descriptors.items())]
 
     def to_json(self) -> dict:
-        return {"type": "jgap", "descriptors": {k: d.to_json() for k, d in sorted(self.descriptors.items())}}
+        return {"type": "gap", "descriptors": {k: d.to_json() for k, d in sorted(self.descriptors.items())}}
 
 
-@register("potential", "jgap")
+@register("potential", "gap")
 def _gap(spec: dict) -> Gap:
     return Gap({k: build("descriptor", d) for k, d in spec["descriptors"].items()})
 

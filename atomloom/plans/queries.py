@@ -313,7 +313,7 @@ def sparsify_uniform_3d(spark, sf_dir):
 
 
 def _potential(extra: dict | None = None):
-    parts = {"gap": {"type": "jgap", "descriptors": {"pair": TWO_BODY, "triple": THREE_BODY}}} | (extra or {})
+    parts = {"gap": {"type": "gap", "descriptors": {"pair": TWO_BODY, "triple": THREE_BODY}}} | (extra or {})
     return build("potential", {"type": "composite", "potentials": parts})
 
 
@@ -333,7 +333,7 @@ def predict_energy(spark, sf_dir):
 
 @query
 def predict_pair_forces(spark, sf_dir):
-    model = build("potential", {"type": "jgap", "descriptors": {"pair": TWO_BODY}})
+    model = build("potential", {"type": "gap", "descriptors": {"pair": TWO_BODY}})
     _, _, p, f = _predicted(spark, sf_dir, model)
     v = p.select("structure_id", r(F.col("virials")[0][0], 5).alias("vxx"))
     return f.join(v, "structure_id").select("structure_id", "atom_id", *[r(c, 6).alias(c) for c in ("fx", "fy", "fz")], "vxx")
@@ -346,7 +346,7 @@ def composite_sum(spark, sf_dir):
         "potential",
         {
             "type": "composite",
-            "potentials": {"isolated_atom": {"type": "isolated_atom", "energies": ISOLATED, "error_on_unknown": False}, "gap": {"type": "jgap", "descriptors": {"pair": TWO_BODY}}},
+            "potentials": {"isolated_atom": {"type": "isolated_atom", "energies": ISOLATED, "error_on_unknown": False}, "gap": {"type": "gap", "descriptors": {"pair": TWO_BODY}}},
         },
     )
     _, _, p, _ = _predicted(spark, sf_dir, model)
@@ -397,7 +397,7 @@ def unknown_species_anti(spark, sf_dir):
 @query
 def residual_subtract(spark, sf_dir):
     """Orders' energies less the pair model's; orders without an energy stay without."""
-    s, atoms, p, f = _predicted(spark, sf_dir, build("potential", {"type": "jgap", "descriptors": {"pair": TWO_BODY}}))
+    s, atoms, p, f = _predicted(spark, sf_dir, build("potential", {"type": "gap", "descriptors": {"pair": TWO_BODY}}))
     left, _ = st.adjust(s, atoms, p, f, subtract=True, set_empty=False)
     return left.select("structure_id", r("energy", 8).alias("energy"))
 
@@ -405,7 +405,7 @@ def residual_subtract(spark, sf_dir):
 @query
 def adjust_set_empty(spark, sf_dir):
     """The same added, also where there was none; forces too."""
-    s, atoms, p, f = _predicted(spark, sf_dir, build("potential", {"type": "jgap", "descriptors": {"pair": TWO_BODY}}))
+    s, atoms, p, f = _predicted(spark, sf_dir, build("potential", {"type": "gap", "descriptors": {"pair": TWO_BODY}}))
     more, moved = st.adjust(s, atoms, p, f, subtract=False, set_empty=True)
     total = moved.groupBy("structure_id").agg(F.sum("fx").alias("fx"))
     return more.join(total, "structure_id").select("structure_id", r("energy", 8).alias("energy"), r("fx", 8).alias("sum_fx"))
@@ -520,7 +520,7 @@ def tabulate_zbl(spark, sf_dir):
 def tabulate_merge(spark, sf_dir):
     """Two potentials' pair tables, added by key."""
     spline = {"type": "spline_pairpot", "pair_data": {"A,N": SPLINE, "R,R": SPLINE}}
-    model = build("potential", {"type": "composite", "potentials": {"gap": {"type": "jgap", "descriptors": {"pair": TWO_BODY}}, "spline": spline}})
+    model = build("potential", {"type": "composite", "potentials": {"gap": {"type": "gap", "descriptors": {"pair": TWO_BODY}}, "spline": spline}})
     t = tab.tabulate(model, tab.Grids.read(GRIDS), spark).pair_table()
     return t.select("k1", "k2", "i", r("energy", 7).alias("energy"))
 

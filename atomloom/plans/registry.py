@@ -28,8 +28,11 @@ def register(family: str, name: str):
 def build(family: str, spec: dict, default: str | None = None) -> Any:
     name = spec.get("type", default)
     if (family, name) not in _BUILDERS:
-        known = sorted(n for f, n in _BUILDERS if f == family)
-        raise ValueError(f"unknown {family} type {name!r}; known: {known}")
+        # Files of other programs put their own prefix before a type's name.
+        ends = [n for n in known(family) if str(name).endswith(n)]
+        if not ends:
+            raise ValueError(f"unknown {family} type {name!r}; known: {known(family)}")
+        name = max(ends, key=len)
     return _BUILDERS[family, name](spec)
 
 

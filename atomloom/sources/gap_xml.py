@@ -120,7 +120,7 @@ def convert_descriptors(node: ET.Element, folder: str) -> dict:
         else:
             d["cutoff"] = {"type": "coscutoff", "cutoff": rc, "r_min": r_min}
         out[str(number)] = d
-    return {"type": "jgap", "descriptors": out}
+    return {"type": "gap", "descriptors": out}
 
 
 def convert(path: str) -> dict:
@@ -136,9 +136,9 @@ def convert(path: str) -> dict:
             inner["isolated_atom"] = convert_isolated(gap.find("GAP_data"))
         if gap.find("gpSparse") is not None:
             inner["GAP"] = convert_descriptors(gap.find("gpSparse"), folder)
-        parts["quip_gap"] = {"type": "composite", "potentials": inner}
+        parts["xml_gap"] = {"type": "composite", "potentials": inner}
     if pair is not None:
-        parts["quip_pairpot"] = convert_pairpot(pair)
+        parts["xml_pairpot"] = convert_pairpot(pair)
     return next(iter(parts.values())) if len(parts) == 1 else {"type": "composite", "potentials": parts}
 
 

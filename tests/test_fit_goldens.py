@@ -47,7 +47,7 @@ CASES = [
 def test_fit(spark, edge, positions, descriptor, e, f, energy, forces, expected):
     s, a = structures(spark, [(cube(edge), ["Fe"] * len(positions), positions, {"energy": float(energy), "forces": forces})])
     rules = {"type": "simple", "E_per_root_n_atoms": e, "F_component": f, "liquid": 1, "short_range": 1}
-    gap = read_fit({"type": "in_ram_jgap", "sigma_rules": rules, "descriptors": {"d": descriptor}}).fit(s, a)
+    gap = read_fit({"type": "gap", "sigma_rules": rules, "descriptors": {"d": descriptor}}).fit(s, a)
     got = [x for v in gap.descriptors["d"].coefficients.values() for x in v]
     assert got == pytest.approx(expected, abs=1e-8)
 

@@ -42,9 +42,9 @@ ZBL = {
 }
 SPLINE = {"type": "spline_pairpot", "pair_data": {k: {"r": [0.0, 1.5, 3.0, 4.5], "E": [4.0, 1.0, -0.6, 0.0]} for k in ("Fe,Fe", "Ni,Fe")}}
 POTENTIALS = {
-    "pair": {"type": "jgap", "descriptors": {"a": PAIR}},
-    "triple": {"type": "jgap", "descriptors": {"a": TRIPLE}},
-    "density": {"type": "jgap", "descriptors": {"a": DENSITY}},
+    "pair": {"type": "gap", "descriptors": {"a": PAIR}},
+    "triple": {"type": "gap", "descriptors": {"a": TRIPLE}},
+    "density": {"type": "gap", "descriptors": {"a": DENSITY}},
     "zbl": ZBL,
     "spline": SPLINE,
 }

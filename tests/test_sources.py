@@ -67,16 +67,20 @@ def test_potential_json_round_trip(spark, tmp_path):
 def test_keys_in_any_order_keep_their_coefficients():
     spec = json.loads(json.dumps(PAIR))
     spec["sparse_data"] = {"Ni,Ni": {"sparse_points": [1.0], "coefficients": [3.0]}, "Ni,Fe": {"sparse_points": [2.0], "coefficients": [2.0]}, "Fe,Fe": {"sparse_points": [3.0], "coefficients": [1.0]}}
-    d = read_potential({"type": "jgap", "descriptors": {"x": spec}}).descriptors["x"]
+    d = read_potential({"type": "gap", "descriptors": {"x": spec}}).descriptors["x"]
     assert [(c, p[0], v) for c, p, _, v in d.flat()] == [(("Fe", "Fe"), 3.0, 1.0), (("Fe", "Ni"), 2.0, 2.0), (("Ni", "Ni"), 1.0, 3.0)]
 
 
-@pytest.mark.parametrize("spec", [{"type": "nothing"}, {"type": "jgap", "descriptors": {"x": {"type": "2b", "kernel": KERNEL, "cutoff": {"type": "perriot", "cutoff": 3, "r_min": 1}}}}])
+@pytest.mark.parametrize("spec", [{"type": "nothing"}, {"type": "gap", "descriptors": {"x": {"type": "2b", "kernel": KERNEL, "cutoff": {"type": "perriot", "cutoff": 3, "r_min": 1}}}}])
 def test_unknown_or_incomplete_components_are_refused(spec):
     with pytest.raises((ValueError, KeyError)):
         read_potential(spec)
 
 
+def test_types_may_have_a_prefix():
+    assert read_potential({"type": "my_gap", "descriptors": {"x": PAIR}}).to_json() == read_potential({"type": "gap", "descriptors": {"x": PAIR}}).to_json()
+
+
 def test_unknown_species_is_an_error(spark):
     s, a = structures(spark, [(cube(12.0), ["Cu"], [(0, 0, 0)], {})])
     with pytest.raises(ValueError, match="Cu"):
@@ -131,7 +135,7 @@ def test_tabulated_triplets_match_the_model(spark):
     s, a = structures(spark, [(cube(40.0), ["Ni", "Fe", "Fe"], apex, {})])
     only = json.loads(json.dumps(TRIPLE))
     only["sparse_data"] = {"Ni,Fe,Fe": only["sparse_data"]["Ni,Fe,Fe"]}
-    model = read_potential({"type": "jgap", "descriptors": {"x": only}})
+    model = read_potential({"type": "gap", "descriptors": {"x": only}})
     t = tabulate(model, Grids(["Fe", "Ni"], 4.0, 10, 1.0, 4.0, 5, 4), spark).triplet_table()
     assert t.count() == 5 * 5 * 4
     by = {(x.i, x.j, x.k): x.energy for x in t.collect()}
@@ -159,7 +163,7 @@ def test_xml_import(spark, tmp_path):
     (tmp_path / "p3").write_text("6.0 0.5 3.0\n")
     (tmp_path / "pe").write_text("1.25\n")
     out = programs.convert(str(tmp_path / "gap.xml"), str(tmp_path / "gap.json"))
-    gap = out["potentials"]["quip_gap"]["potentials"]
+    gap = out["potentials"]["xml_gap"]["potentials"]
     assert gap["isolated_atom"]["energies"] == {"Fe": -3.5}
     two, three, eam = (next(d for d in gap["GAP"]["descriptors"].values() if d["type"] == k) for k in ("2b", "3b", "eam"))
     assert two["cutoff"] == {"type": "coscutoff", "cutoff": 4.5, "r_min": 3.5}
@@ -185,7 +189,7 @@ def test_programs_end_to_end(spark, tmp_path):
         "pair": {"type": "2b", "kernel": KERNEL, "cutoff": PAIR["cutoff"], "sparsify": sparsify},
         "eam": {"type": "eam", "kernel": KERNEL, "pair_functions": DENSITY["pair_functions"][:1], "sparsify": sparsify},
     }
-    fit = {"type": "in_ram_jgap", "sigma_rules": {"type": "simple", "E_per_root_n_atoms": 0.001, "liquid": 5, "short_range": 5}, "descriptors": d}
+    fit = {"type": "gap", "sigma_rules": {"type": "simple", "E_per_root_n_atoms": 0.001, "liquid": 5, "short_range": 5}, "descriptors": d}
     spec = {"training_data_xyz": str(tmp_path / "train.xyz"), "output_file": str(tmp_path / "pot.json"), "fits": {"isolated_atom": {"type": "isolated_atom"}, "gap": fit}, "external": {"type": "spline_pairpot", "pair_data": {"Fe,Fe": {"r": [0, 1, 2], "E": [2, 1, 0]}}}}
     programs.fit(spark, spec)
     out, _ = programs.predict(spark, {"potential_file": spec["output_file"], "input_xyz": spec["training_data_xyz"], "output_xyz": str(tmp_path / "out.xyz")})
