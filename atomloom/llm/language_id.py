@@ -42,9 +42,10 @@ HASH_BITS = 15
 SAMPLE_ROWS = 3000
 EPOCHS = 3
 HELD_OUT = 5
-MIN_PROB = 0.5
+#: Below it no language stands out; a text in two languages still passes.
+MIN_PROB = 0.4
 #: Mean TF-IDF is brought to a scale that suits the learning rate.
-SCALE = 32.0
+SCALE = 64.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 _MUL = np.array([[2654435761, 0, 0], [2246822519, 3266489917, 0], [668265263, 374761393, 3266489917]], np.uint32)
 
@@ -146,6 +147,7 @@ class Model:
     table: np.ndarray  # (2**HASH_BITS, classes): idf * weight
     bias: np.ndarray
     temperature: float
+    scale: float = SCALE
 
     def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(n, classes) calibrated probabilities, and which texts have a letter."""
@@ -164,7 +166,7 @@ class Model:
                     w = np.append(self.table[:, k][h], np.float32(0)).astype(np.float64)
                     z[rows, k] += np.add.reduceat(w, pairs)[::2]
             out[i:j] = z / np.maximum(totals(cuts), 1)[:, None]
-        z = (out * SCALE + self.bias) / self.temperature
+        z = (out * self.scale + self.bias) / self.temperature
         z -= z.max(axis=1, keepdims=True) if c else 0
         e = np.exp(z)
         return e / np.maximum(e.sum(axis=1, keepdims=True), 1e-300), has

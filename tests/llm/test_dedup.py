@@ -74,6 +74,14 @@ def test_near_duplicates_of_the_test_table(spark):
     assert {k: got[k] for k in want} == want and len(got) == len(pdf)
 
 
+def test_shards_of_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SHARD_ROWS", 70)  # three shards
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pdf = docs.toPandas()
+    want = brute_groups(pdf.doc_id.tolist(), pdf.text.tolist())
+    assert {r.doc_id: r.group_id for r in near_dup.groups(docs).collect()} == want
+
+
 def test_bk_tree_is_exact():
     rng = np.random.default_rng(1)
     values = rng.permutation(65536)[:4000].astype(np.uint16)

@@ -58,7 +58,7 @@ def test_language_scores_by_hand(spark):
                 g, _ = language_id.ngrams(pa.array(["".join(map(chr, cp[i : i + order]))]))
                 z += model.table[g[order - 1][0]]
                 n += 1
-        z = (z / n * language_id.SCALE + model.bias) / model.temperature
+        z = (z / n * model.scale + model.bias) / model.temperature
         e = np.exp(z - z.max())
         assert row == pytest.approx(e / e.sum(), abs=1e-5)
         break
