@@ -69,14 +69,14 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for i, j in tk.chunks(offsets):
         words, _, _, cuts, _ = tk.word_hashes(column.slice(i, j - i))
         doc = np.repeat(np.arange(j - i), np.diff(cuts))
-        # Distinct words by document: the document goes into the hash's low bits, which bear no weight here.
-        bits = max(1, int(j - i - 1).bit_length())
-        key = np.sort((doc.astype(tk.U64) << tk.U64(64 - bits)) | (words >> tk.U64(bits)))
+        # Distinct words by document. Numbers of words serve for the sort alone: the bits are those of the whole
+        # hash, so a text has one fingerprint whatever texts share its chunk.
+        word, number = np.unique(words, return_inverse=True)
+        key = np.sort(doc * len(word) + number)
         if not len(key):
             continue
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        doc = (key >> tk.U64(64 - bits)).astype(np.int64)
-        word = key << tk.U64(bits) >> tk.U64(bits)
+        doc, number = np.divmod(key, len(word))
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         size = np.diff(np.concatenate([first, [len(doc)]]))
         # Segments of at most 255 words, so that counts fit the 8-bit lanes.
@@ -87,7 +87,7 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows = i + doc[first]
         has[rows] = True
         for half, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-            h = tk.mix(word + tk.U64(salt)).view(np.uint8).reshape(-1, 8)
+            h = tk.mix(word + tk.U64(salt))[number].view(np.uint8).reshape(-1, 8)
             value = np.zeros(len(first), tk.U64)
             for byte in range(8):
                 lanes = np.add.reduceat(_LANES[h[:, byte]], seg).view(np.uint8).reshape(-1, 8)

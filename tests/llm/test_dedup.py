@@ -61,6 +61,26 @@ def test_near_duplicates_edges(documents):
     assert sorted((r.doc_id for r in left.collect()), key=lambda x: (x is None, x)) == [1, 2, 3, 4, 6, 7, 8, None]
 
 
+def test_a_fingerprint_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(8)
+    text, others = words(rng, 200), [words(rng, 5) for _ in range(600)]
+    alone = near_dup.fingerprints(pa.array([text]))[0][0].tolist()
+    for n in (1, 2, 300, 600):
+        for at in (0, n // 2, n):
+            column = pa.array([*others[:at], text, *others[at:n]])
+            assert near_dup.fingerprints(column)[0][at].tolist() == alone
+    long = words(rng, 300_000)  # ends the chunk before it
+    assert near_dup.fingerprints(pa.array([*others[:40], text, long, text]))[0][[40, 42]].tolist() == [alone, alone]
+
+
+def test_copies_in_unequal_chunks_are_one_group(documents):
+    rng = np.random.default_rng(9)
+    text = words(rng, 300)
+    rows = [(1, text, "en", "a"), *[(2 + k, words(rng, 500), "en", "a") for k in range(500)], (600, text, "en", "a")]
+    got = {r.doc_id: r.group_id for r in near_dup.groups(documents(rows).coalesce(1)).collect()}
+    assert got[600] == 1 and len(got) == 502
+
+
 def test_near_duplicates_empty(documents):
     docs = documents([(1, "a", "en", "s")]).where("false")
     assert near_dup.mark(docs).count() == 0 and near_dup.drop_near_duplicates(docs).count() == 0
