@@ -10,6 +10,13 @@ buckets: find the bucket in which the budget ends, split only that bucket by
 the hash's next bits, and so on, until the hash has no bits left.  Documents
 are then filtered by one comparison; they are never sorted or shuffled.
 
+So the weights are held only at levels for which each source has its budget; at
+higher levels a source that is short has less than its target share and the
+others have more.  With ``hold`` the levels are percentages of the largest mix
+at which the weights hold, whichever level is taken; a source that has less than
+TINY_PERCENT of its target share of all tokens doesn't set that mix's size and
+gives what it has.  The query, its SQL twin and the pipeline don't use it.
+
 Tokens of a text are its space-separated pieces, spaces + 1; an empty or null
 text has none.
 
@@ -39,6 +46,8 @@ DEFAULT_WEIGHT = 1
 #: Nested budgets, in percent of all tokens; each is split over the sources by weight.
 LEVELS: Sequence[int] = (25, 50, 100)
 SEED = "mix"
+#: With ``hold``, a source of less than this percentage of its target share doesn't bound the mix.
+TINY_PERCENT = 1
 
 
 def id_hash(doc_id: Column, seed: str = SEED) -> Column:
@@ -71,6 +80,7 @@ def thresholds(
     weights: Mapping[str, int] = WEIGHTS,
     default_weight: int = DEFAULT_WEIGHT,
     levels: Sequence[int] = LEVELS,
+    hold: bool = False,
 ) -> DataFrame:
     """(mix_source, mix_level, mix_below): at level i, 1 for the smallest, a source gives its documents of hash < mix_below."""
     require(docs, "doc_id", "text", "source")
@@ -82,9 +92,14 @@ def thresholds(
     weight = _weight(F.col("mix_source"), weights, default_weight)
     total = top.groupBy("mix_source").agg(F.sum("t").alias("total")).withColumn("w", weight).where("w > 0")
     whole = total.agg(F.sum("total").alias("all_tokens"), F.sum("w").alias("all_w"))  # one row
+    each = F.expr("all_tokens * w div all_w")
+    if hold:
+        bound = total.crossJoin(F.broadcast(whole)).where(f"total > 0 and total * all_w * 100 >= all_tokens * w * {TINY_PERCENT}")
+        whole = bound.agg(F.coalesce(F.min(F.expr("total div w")), F.lit(0)).alias("unit"))
+        each = F.expr("unit * w")
     budget = (
         total.crossJoin(F.broadcast(whole))
-        .select("mix_source", F.expr("all_tokens * w div all_w").alias("b"), F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("i", "percent"))
+        .select("mix_source", each.alias("b"), F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("i", "percent"))
         .select("mix_source", (F.col("i") + 1).alias("mix_level"), F.expr("b * percent div 100").alias("left"))
     )
     # state: all hashes below base are in; of the bucket from base on, `left` tokens may still come in.
@@ -141,16 +156,16 @@ def _joined(docs: DataFrame, limits: DataFrame) -> DataFrame:
     return keyed.join(wide, F.col("mix_key") == F.col("mix_source")).withColumn("mix_in", level).where("mix_in is not null")
 
 
-def select_documents(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS) -> DataFrame:
+def select_documents(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS, hold: bool = False) -> DataFrame:
     """The documents of the largest mix, with the columns that ``docs`` has."""
     require(docs, "doc_id", "text", "source")
     plain, back = shielded(docs, "doc_id", "source")
-    return unshielded(_joined(plain, thresholds(docs, weights, default_weight, levels)), back)
+    return unshielded(_joined(plain, thresholds(docs, weights, default_weight, levels, hold)), back)
 
 
-def assign_levels(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS) -> DataFrame:
+def assign_levels(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS, hold: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens, mix_level): the smallest mix that holds each document; documents in no mix are left out."""
-    out = _joined(docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), thresholds(docs, weights, default_weight, levels))
+    out = _joined(docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), thresholds(docs, weights, default_weight, levels, hold))
     return out.select("doc_id", "source", "n_tokens", F.col("mix_in").cast("bigint").alias("mix_level"))
 
 

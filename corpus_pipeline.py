@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the largest mix of sources at their target weights."""
+    """Keep the largest mix of sources; those that are short stay below their target weights."""
     return source_mix.select_documents(docs)
 
 

@@ -183,6 +183,25 @@ def test_mix_without_early_stop(spark):
     assert sorted(repr(tuple(r)) for r in source_mix.assign_levels(docs).collect()) == brute_mix(rows)
 
 
+def test_mix_holds_the_weights(documents):
+    rng = np.random.default_rng(5)
+    rows = [(i, words(rng, 10), "en", f"src{i % 4}") for i in range(1200)] + [(5000, "tiny", "en", "z")]
+    docs = documents(rows)
+
+    def shares(hold):
+        got = source_mix.assign_levels(docs, hold=hold).toPandas()
+        out = []
+        for level in (1, 2, 3):
+            t = got[got.mix_level <= level].groupby("source").n_tokens.sum()
+            out.append(t["src0"] / t.drop("z").sum())
+        return out, t
+
+    held, most = shares(True)
+    assert all(abs(x - 4 / 7) < 0.01 for x in held)
+    assert most["src0"] == 3000 and most["z"] == 1  # the scarce source whole
+    assert shares(False)[0][2] < 0.45
+
+
 # -------------------------------------------------------- 7: decontamination
 
 
