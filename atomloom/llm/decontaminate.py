@@ -9,12 +9,13 @@ u bins: the shingle hashes fall into bins and each bin keeps its least hash.
 An item is sketched with each partition's bins too, and is a candidate for a
 document if they agree in any bin.  With u bins a document has at most one
 shingle a bin on average, so a shingle that both hold is its document's bin
-minimum with a probability of at least (1 - 1/e) = 0.63; an item of 14 words,
-of which 8 of 10 shingles are in a document, is missed with a probability of
-0.37**8 = 0.0004, a longer one with less.  (Fewer bins would miss more: at
-Jaccard similarities of 0.001 and less, which containment in long documents
-means, short signatures find nothing.)  Each candidate is verified by exact
-containment of its shingles.
+minimum with a probability of at least (1 - 1/e) = 0.63; a leak of 8 shingles is
+missed with a probability of 0.37**8 = 0.0004, a larger one with less.  (Fewer
+bins would miss more: at Jaccard similarities of 0.001 and less, which
+containment in long documents means, short signatures find nothing.)  Items that
+leak with fewer than EXACT_BELOW shingles aren't sketched: all the document's
+shingles are probed for theirs, so none is missed.  Each candidate is verified
+by exact containment of its shingles.
 
 The items' sketches are broadcast in blocks of at most ITEM_BLOCK items, each
 block one pass over the documents; documents are never moved.
@@ -42,6 +43,8 @@ SHINGLE = 5
 THRESHOLD = 0.5
 #: Items whose sketches are broadcast at a time (about 1 kB each).
 ITEM_BLOCK = 20_000
+#: Items for which fewer shared shingles are a leak are searched by all their shingles.
+EXACT_BELOW = 8
 #: Document size partitions: up to 2**i distinct shingles.
 MAX_EXPONENT = 40
 
@@ -60,11 +63,19 @@ class Items:
         self.shingle, self.item = sh[new], item[new]
         self.size = np.bincount(self.item, minlength=len(ids))
         self._sketch: dict[int, tuple] = {}
+        self._few: dict[float, tuple] = {}
         order = np.argsort(self.shingle, kind="stable")
         self.by_shingle, self.by_item = self.shingle[order], self.item[order]
 
     def __getstate__(self):
-        return self.__dict__ | {"_sketch": {}}
+        return self.__dict__ | {"_sketch": {}, "_few": {}}
+
+    def few(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(shingle, item), sorted by shingle, of the items that leak with fewer than EXACT_BELOW shingles."""
+        if threshold not in self._few:
+            mine = np.ceil(threshold * self.size)[self.by_item] < EXACT_BELOW
+            self._few[threshold] = self.by_shingle[mine], self.by_item[mine]
+        return self._few[threshold]
 
     def sketch(self, exponent: int) -> tuple[np.ndarray, np.ndarray]:
         """(minimum hash, item), sorted by hash: each item's bin minima under 2**exponent bins."""
@@ -131,6 +142,9 @@ def search(column: pa.Array, items: Items, k: int = SHINGLE, threshold: float =
             keys, owner = items.sketch(int(e))
             p, q = _matches(keys, value)
             cand.append(group[p] * len(items.ids) + owner[q])
+        keys, owner = items.few(threshold)
+        p, q = _matches(keys, sh)
+        cand.append(doc[p] * len(items.ids) + owner[q])
         cand = np.unique(np.concatenate(cand)) if cand else np.zeros(0, np.int64)
         if not len(cand):
             continue

@@ -205,6 +205,23 @@ def test_mix_holds_the_weights(documents):
 # -------------------------------------------------------- 7: decontamination
 
 
+def test_short_items_are_all_found():
+    rng = np.random.default_rng(6)
+    texts = [words(rng, 5 + k % 14, "q") for k in range(140)]
+    docs, truth = [], set()
+    for k, t in enumerate(texts):
+        w = t.split()
+        n = len(w) - decontaminate.SHINGLE + 1
+        part = w[: -(-n // 2) + decontaminate.SHINGLE - 1]  # just half of the shingles
+        for size in (200, 4000):
+            body = words(rng, size).split()
+            truth.add((len(docs), k))
+            docs.append(" ".join([*body[: size // 2], *part, *body[size // 2 :]]))
+    items = decontaminate.Items(list(range(len(texts))), pa.array(texts), decontaminate.SHINGLE)
+    row, item, _ = decontaminate.search(pa.array(docs), items)
+    assert set(zip(row.tolist(), item.tolist())) == truth
+
+
 def test_leaks_recall_and_precision(documents, spark):
     rng = np.random.default_rng(3)
     items = [(k, words(rng, int(rng.integers(14, 60)), "q")) for k in range(60)]
