@@ -2,7 +2,8 @@
 
 Each URL is expanded into expressions: its host and up to four suffixes of its
 host's last five labels (at least two labels long), each combined with its path
-and query, its path, and up to four leading directories of the path.  The
+and query, its path, and up to four leading directories of the path, the root
+being one.  If a rule has more labels or directories, as many are expanded.  The
 expressions' SHA-256 digests are joined with the rules' by their first 32 bits
 (a narrow integer equi-join), then whole digests are compared.  Of a URL's
 matching rules the one of highest priority holds; then the longest expression;
@@ -61,8 +62,12 @@ _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 _QUERY = r"^[^?#]*(\?[^#]*)"
 
 
-def expressions(urls: DataFrame) -> DataFrame:
-    """(url, expression) of the distinct URLs that have a host; ``urls`` has a column url."""
+def expressions(urls: DataFrame, labels: int = HOST_LABELS, depth: int = PATH_DIRS) -> DataFrame:
+    """(url, expression) of the distinct URLs that have a host; ``urls`` has a column url.
+
+    Suffixes have at most ``labels`` labels, and at most ``depth`` leading
+    directories are taken, the root being the first.
+    """
     parts = urls.select("url").where("url is not null").distinct().select(
         "url",
         F.lower(F.regexp_replace(F.regexp_extract("url", _HOST, 1), r"\.$", "")).alias("host"),
@@ -77,10 +82,10 @@ def expressions(urls: DataFrame) -> DataFrame:
         }
     )
     hosts = f"""if(ipv4 or size(labels) <= 2, array(host), concat(array(host),
-        transform(sequence(greatest(2, size(labels) - {HOST_LABELS - 1}), size(labels) - 1), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))))"""
+        transform(sequence(greatest(2, size(labels) - {labels - 1}), size(labels) - 1), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))))"""
     dirs = "slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 2, 0))"
     paths = f"""concat(array(concat(path, query), path, '/'),
-        transform(filter(sequence(0, {PATH_DIRS - 1}), k -> k > 0 and k <= size(dirs)), k -> concat('/', array_join(slice(dirs, 1, k), '/'), '/')))"""
+        transform(filter(sequence(0, {depth - 1}), k -> k > 0 and k <= size(dirs)), k -> concat('/', array_join(slice(dirs, 1, k), '/'), '/')))"""
     both = parts.withColumn("dirs", F.expr(dirs)).select("url", F.explode(F.expr(f"array_distinct({hosts})")).alias("h"), F.expr(f"array_distinct({paths})").alias("p"))
     return both.select("url", F.explode(F.expr("transform(p, x -> concat(h, x))")).alias("expression"))
 
@@ -93,13 +98,20 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, url, verdict, rule_id) of every page."""
     require(pages, "page_id", "url")
     require(rules, "rule_id", "expression", "action", "priority")
-    rules = rules.where("length(expression) > 0 and action is not null").select(
+    rules = rules.where("length(expression) > 0 and action is not null")
+    # A rule of more labels or directories than are usual is matched too.
+    n, labels, depth = rules.agg(
+        F.count(F.lit(1)),
+        F.max(F.expr("size(split(substring_index(expression, '/', 1), '[.]'))")),
+        F.max(F.expr("size(split(substring_index(expression, '?', 1), '/')) - 1")),
+    ).first()
+    rules = rules.select(
         F.sha2("expression", 256).alias("r_digest"), F.length("expression").alias("r_length"), "rule_id", "action", "priority"
     )
     key = lambda digest: F.conv(F.substring(digest, 1, PREFIX_HEX), 16, 10).cast("bigint")
     rules = rules.withColumn("r_key", key(F.col("r_digest")))
-    rules = sized(rules, rules.count(), 160)
-    mine = expressions(pages).select("url", F.sha2("expression", 256).alias("digest"))
+    rules = sized(rules, n, 160)
+    mine = expressions(pages, max(HOST_LABELS, labels or 0), max(PATH_DIRS, depth or 0)).select("url", F.sha2("expression", 256).alias("digest"))
     hits = mine.withColumn("key", key(F.col("digest"))).join(rules, F.col("key") == F.col("r_key")).where("digest = r_digest")
     rank = F.struct(-F.coalesce("priority", F.lit(0)), -F.col("r_length"), F.coalesce("rule_id", F.lit(1 << 62)))
     best = hits.groupBy("url").agg(F.min_by(F.struct("action", "rule_id"), rank).alias("best"))

@@ -78,6 +78,16 @@ def test_rule_precedence_and_edges(spark):
     assert {r.verdict for r in url_filter.apply_rules(pages, rules.where("false")).collect()} == {"allow", "invalid"}
 
 
+def test_deep_rules_match(spark):
+    rules = spark.createDataFrame(
+        [(1, "example.com/a/b/c/d/", "block", 1), (2, "c.d.e.f.g.com/", "review", 1), (3, "deep.org/1/2/3/4/5/6/", "block", 1)], "rule_id long, expression string, action string, priority int"
+    )
+    rows = [(1, "http://www.example.com/a/b/c/d/e/f.html"), (2, "http://a.b.c.d.e.f.g.com/x"), (3, "http://deep.org/1/2/3/4/5/6/7/?q=1"), (4, "http://example.com/a/b/c/x/"), (5, "http://d.e.f.g.com/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule_id) for r in url_filter.apply_rules(pages, rules).collect()}
+    assert got == {1: ("block", 1), 2: ("review", 2), 3: ("block", 3), 4: ("allow", None), 5: ("allow", None)}
+
+
 # -------------------------------------------------------------------- 3: WARC
 
 
