@@ -207,9 +207,10 @@ def solve_shard(st: Stretches) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
     cls, sfx, o = cls[order], sfx[order], o[order]
     first = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, bool)
     lead = sfx[first][np.cumsum(first) - 1] if len(cls) else sfx
-    mine = np.full(len(text), -1, np.int64)  # document with the earlier window
+    repeated, mine = np.zeros(len(text), bool), np.zeros(len(text), np.int64)  # mine: document with the earlier window
+    repeated[sfx[~first]] = True
     mine[sfx[~first]] = doc[owner[lead[~first]]]
-    spans = _runs(mine, owner, inside, start, doc, copy)
+    spans = _runs(repeated, mine, owner, inside, start, doc, copy)
     # First windows, by anchor.
     flagged = np.zeros(len(text), bool)
     flagged[sfx[first]] = True
@@ -231,9 +232,9 @@ def solve_shard(st: Stretches) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
     return spans, out
 
 
-def _runs(mine: np.ndarray, owner: np.ndarray, inside: np.ndarray, start: np.ndarray, doc: np.ndarray, copy: np.ndarray) -> pd.DataFrame:
-    """Runs of neighbouring repeated windows; mine is the earlier document of a repeated window, else -1."""
-    at = np.flatnonzero(mine != -1)
+def _runs(repeated: np.ndarray, mine: np.ndarray, owner: np.ndarray, inside: np.ndarray, start: np.ndarray, doc: np.ndarray, copy: np.ndarray) -> pd.DataFrame:
+    """Runs of neighbouring repeated windows; mine is the earlier document of a repeated window."""
+    at = np.flatnonzero(repeated)
     if not len(at):
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "copy", "start_word", "end_word", "first_doc_id")})
     new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])

@@ -207,6 +207,16 @@ def test_repeats_edges(documents, shard_words):
     assert {d for d, _, _ in got} == {2, 6, 8, *range(20, 32)}
 
 
+def test_repeats_of_a_document_of_id_minus_one():
+    rng = np.random.default_rng(10)
+    shared = tk.word_hashes(pa.array([words(rng, 60)]))[0]
+    st = suffix_dedup.Stretches()
+    for doc in (-2, -1, 0, 5):
+        st.add(doc, 0, 0, shared if doc != -2 else shared[:30])
+    spans = suffix_dedup.solve_shard(st)[0]
+    assert sorted(map(tuple, spans[["doc_id", "start_word", "end_word", "first_doc_id"]].values.tolist())) == [(0, 0, 60, -1), (5, 0, 60, -1)]
+
+
 def test_repeated_rows_and_empty_tables(documents):
     rng = np.random.default_rng(6)
     t = words(rng, 80)
