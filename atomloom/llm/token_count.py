@@ -8,11 +8,13 @@ parameter; the log probability of the piece of rank r is -log(r + 1), Zipf's
 law.  A character that is no piece costs UNKNOWN below the least piece and
 counts as its UTF-8 bytes.
 
-Each distinct pre-token that a worker hasn't met is inserted into a trie; a
-trie node holds the best score and token count of the path to it, so a prefix
-that many words share is solved once, and a word's count is read off its
-terminal node.  Documents then sum the counts of their words.  All of it happens
-where the documents are: no shuffle.
+The distinct pre-tokens of a chunk of texts that a worker hasn't met are sorted
+and their trie is walked implicitly in that order: only the path of the last word
+is held, whose nodes hold the best score and token count of their prefix, so a
+prefix that many words of the chunk share is solved once.  A word's count is read
+off its last node and kept by word; nodes aren't kept for the next chunk.
+Documents then sum the counts of their words.  All of it happens where the
+documents are: no shuffle.
 
 Defined cases: a null, empty or blank text has 0 pre-tokens and 0 tokens; a
 null doc_id is carried; repeated rows are counted each; a word of any length is
@@ -55,7 +57,7 @@ def pieces(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Trie of pre-tokens whose nodes hold the forward score and token count of their prefix."""
+    """Implicit trie of pre-tokens: a node has the forward score and token count of its prefix; only the last word's path is held."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
