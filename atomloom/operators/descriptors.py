@@ -17,13 +17,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.functions import expr
 from atomloom.plans.registry import Kernel, Radial, build, register
 
-from . import sparse
+from . import blocks, sparse
 from .structures import VIRIAL
 
 SPARSE_SCHEMA = "k1 string, k2 string, k3 string, p array<double>, col_id int, c double"
@@ -145,7 +146,13 @@ def _virial(bonds: list[tuple[Column, expr.Vector]]) -> list[Column]:
     return [-sum(g * r[a] * r[b] for g, r in bonds) for a, b in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]
 
 
-# ------------------------------------------------------------ the descriptors
+def _indexed(rows: DataFrame, keys: tuple[str, ...], atoms: list[str], values: list[str]) -> DataFrame:
+    """Index rows for dense blocks: structure, category, up to three atoms, and the numbers that the kernel needs."""
+    ints = [F.col(a).cast("bigint") for a in atoms] + [F.lit(0).cast("bigint")] * (3 - len(atoms))
+    return rows.select("structure_id", *keys, *[a.alias(f"a{n}") for n, a in enumerate(ints)], F.array(*values).alias("v"))
+
+
+# The descriptors
 
 
 @dataclass
@@ -201,10 +208,8 @@ class Descriptor:
         rows, order = self.samples(atoms, neighbours)
         self.points = sparse.select(rows, list(self.at), order, int(s["n_sparse"]), list(self.keys), s.get("grid_dimensions"), int(s.get("seed", 799)))
 
-    def self_covariance(self) -> list[tuple[list[int], "object"]]:
+    def self_covariance(self) -> list[tuple[list[int], np.ndarray]]:
         """Blocks (columns, matrix) of the sparse points' covariance; categories don't mix."""
-        import numpy as np
-
         out, n = [], 0
         for cat in sorted(self.points):
             p = np.array(self.points[cat], float).reshape(len(self.points[cat]), -1)
@@ -215,6 +220,25 @@ class Descriptor:
             n += len(p)
         return out
 
+    def category_number(self) -> Column:
+        """The number of a row's category among those with sparse points, null if it has none."""
+        out = F.lit(None).cast("int")
+        for n, cat in enumerate(sorted(self.points)):
+            same = F.col(self.keys[0]) == cat[0]
+            for k, x in zip(self.keys[1:], cat[1:]):
+                same &= F.col(k) == x
+            out = F.when(same, F.lit(n)).otherwise(out)
+        return out
+
+    def block_categories(self, first: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(first column, points, cutoff values) by category."""
+        out = []
+        for cat in sorted(self.points):
+            p = np.array(self.points[cat], float).reshape(len(self.points[cat]), -1)
+            out.append((first, p, np.array([self.cutoff_of(x) for x in self.points[cat]])))
+            first += len(p)
+        return out
+
     def sparse_json(self) -> dict:
         data = {}
         for cat in sorted(self.points):
@@ -288,6 +312,24 @@ class TwoBody(Descriptor):
         term = _term(F.col("i"), F.col("s0") * F.col("f"), tuple(2.0 * g * x for x in r), _virial([(g, r)]))
         return rows.select("structure_id", *_group(spread), term.alias("t")).select("structure_id", *_group(spread), "t.*")
 
+    def index_rows(self, atoms: DataFrame, neighbours: DataFrame) -> list[DataFrame]:
+        rows = pair_index(neighbours, self.cutoff)
+        return [_indexed(rows, self.keys, ["i"], ["d", "f", "df", "rx", "ry", "rz"])]
+
+    def block_parts(self, first: int) -> list:
+        length, energy = self.kernel.length, self.kernel.energy
+
+        def solve(v, ints, points, weights):
+            d, f, df, r = v[:, :1], v[:, 1:2], v[:, 2:3], v[:, 3:6]
+            s0, (s1,) = blocks.kernel(d, points, weights, length, energy)
+            yield 0, s0 * f
+            # Each pair comes in both directions: twice the force, once the virial.
+            g = (s1 * f + s0 * df) / d
+            for obs, values in blocks.force_and_virial(ints[0], g, r):
+                yield obs, values if np.isscalar(obs) else 2.0 * values
+
+        return [(solve, self.block_categories(first))]
+
     def to_json(self) -> dict:
         return {"type": "2b", "kernel": self.kernel.spec, "cutoff": self.cutoff.spec, "sparse_data": self.sparse_json()}
 
@@ -339,6 +381,30 @@ class ThreeBody(Descriptor):
         out = F.array(_term(c("i"), c("e"), f0, virial), _term(c("j1"), F.lit(0.0), f1, none), _term(c("j2"), F.lit(0.0), f2, none))
         return named.select("structure_id", *_group(spread), F.explode(out).alias("t")).select("structure_id", *_group(spread), "t.*")
 
+    def index_rows(self, atoms: DataFrame, neighbours: DataFrame) -> list[DataFrame]:
+        rows = triplet_index(neighbours, self.cutoff)
+        return [_indexed(rows, self.keys, ["i", "j1", "j2"], ["r01", "r02", "r12", "f1", "f2", "df1", "df2", *[f"{c}{n}" for n in "12" for c in "xyz"]])]
+
+    def block_parts(self, first: int) -> list:
+        length, energy = self.kernel.length, self.kernel.energy
+
+        def solve(v, ints, points, weights):
+            r01, r02, r12, f1, f2, df1, df2 = (v[:, k : k + 1] for k in range(7))
+            r1, r2 = v[:, 7:10], v[:, 10:13]
+            q = np.concatenate([r01 + r02, (r01 - r02) ** 2, r12], axis=1)
+            s0, (a, b, c) = blocks.kernel(q, points, weights, length, energy)
+            both, skew = f1 * f2, 2.0 * (r01 - r02)
+            yield 0, 2.0 * s0 * both
+            g01 = 2.0 * ((a + skew * b) * both + s0 * df1 * f2) / r01
+            g02 = 2.0 * ((a - skew * b) * both + s0 * f1 * df2) / r02
+            g12 = np.divide(2.0 * c * both, r12, out=np.zeros_like(s0), where=r12 > 0)
+            # Each side pulls its two ends together.
+            for g, r, one, other in ((g01, r1, 0, 1), (g02, r2, 0, 2), (g12, r2 - r1, 1, 2)):
+                yield from blocks.force_and_virial(ints[one], g, r)
+                yield from blocks.force_and_virial(ints[other], -g, r, virial=False)
+
+        return [(solve, self.block_categories(first))]
+
     def to_json(self) -> dict:
         return {"type": "3b", "kernel": self.kernel.spec, "cutoff": self.cutoff.spec, "sparse_data": self.sparse_json()}
 
@@ -374,6 +440,28 @@ class Embedded(Descriptor):
         forces = e.select("structure_id", *_group(spread), F.explode(both).alias("t")).select("structure_id", *_group(spread), "t.*")
         return energy.unionByName(forces)
 
+    def index_rows(self, atoms: DataFrame, neighbours: DataFrame) -> list[DataFrame]:
+        edges = density_edges(neighbours, self.functions)
+        rho = densities(atoms, edges)
+        pulls = edges.join(rho, ["structure_id", "i"])
+        return [_indexed(rho, self.keys, ["i"], ["rho"]), _indexed(pulls, self.keys, ["i", "j"], ["rho", "drho_in", "d", "rx", "ry", "rz"])]
+
+    def block_parts(self, first: int) -> list:
+        length, energy = self.kernel.length, self.kernel.energy
+        sign = 1.0 if self.legacy_virial_sign else -1.0
+
+        def own(v, ints, points, weights):
+            yield 0, blocks.kernel(v, points, weights, length, energy)[0]
+
+        def pulls(v, ints, points, weights):
+            g = blocks.kernel(v[:, :1], points, weights, length, energy)[1][0] * v[:, 1:2] / v[:, 2:3]
+            r = v[:, 3:6]
+            for obs, values in blocks.force_and_virial(ints[0], g, r):
+                yield obs, values if not np.isscalar(obs) else -sign * values
+            yield from blocks.force_and_virial(ints[1], -g, r, virial=False)
+
+        return [(own, self.block_categories(first)), (pulls, self.block_categories(first))]
+
     def to_json(self) -> dict:
         fs = [self.functions[None].spec] if None in self.functions else []
         fs += [f.spec | {"species_ordered": list(k)} for k, f in sorted((k, f) for k, f in self.functions.items() if k is not None)]

@@ -1,34 +1,28 @@
 """Fits: observations, design matrix and least squares.
 
-Observations and matrix entries are long rows (structure_id, obs, col_id, a),
-where obs numbers a structure's observations: 0 the energy, 1 to 6 the virial,
-from 7 on three per atom.  The target is column m.  The tall matrix never
-exists in one place: each partition makes dense blocks of its own structures and
-reduces them to a triangular factor; only the m x m factors are stacked on the
-driver (tall-skinny QR), with the prior's Cholesky factor below, and solved.
+A structure's observations are numbered: 0 the energy, 1 to 6 the virial, from 7
+on three per atom.  Fits make the weighted matrix in dense blocks of whole
+structures and reduce these to a triangular factor (``blocks``), with the prior's
+Cholesky factor below, and solve that.  ``design`` has the same matrix as long
+rows (structure_id, obs, col_id, a), the target in column m: the relational
+definition, against which the blocks are tested.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.plans.registry import build, register
 
 from . import sigmas as _sigmas  # noqa: F401  (registers the rules)
+from .blocks import reduced, triangular_factor
 from .descriptors import Descriptor
 from .neighbours import find_neighbours
 from .potentials import Composite, Gap, IsolatedAtom, predict, read_potential
 from .structures import VIRIAL, VOIGT, adjust
 
-#: Rows of a dense block before it is reduced.
-BLOCK_ROWS = 8192
-TARGET = "y"
-
 
 def targets(structures: DataFrame, atoms: DataFrame) -> DataFrame:
     """(structure_id, obs, value, sigma_inv) of all observations that are there."""
@@ -69,48 +63,6 @@ def weighted_design(matrix: DataFrame, observed: DataFrame, m: int) -> DataFrame
     return a.unionByName(b)
 
 
-def _reduce(blocks: list[np.ndarray]) -> np.ndarray:
-    return np.linalg.qr(np.concatenate(blocks), mode="r")
-
-
-def triangular_factor(long: DataFrame, m: int) -> np.ndarray:
-    """The R factor of [A | b]."""
-    n = m + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = np.zeros((0, n))
-        held: list[pd.DataFrame] = []
-
-        def solve(rows: pd.DataFrame) -> None:
-            nonlocal r
-            key = rows.structure_id.to_numpy(), rows.obs.to_numpy()
-            new = np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
-            at = np.cumsum(new) - 1
-            dense = np.zeros((at[-1] + 1, n))
-            dense[at, rows.col_id.to_numpy()] = rows.a.to_numpy()
-            for k in range(0, len(dense), BLOCK_ROWS):
-                r = _reduce([r, dense[k : k + BLOCK_ROWS]])
-
-        for pdf in batches:
-            if len(pdf):
-                held.append(pdf)
-                rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-                # The last observation may go on in the next batch.
-                last = (rows.structure_id == rows.structure_id.iloc[-1]) & (rows.obs == rows.obs.iloc[-1])
-                held = [rows[last]]
-                if not last.all():
-                    solve(rows[~last])
-        if held:
-            solve(pd.concat(held, ignore_index=True))
-        if len(r):
-            yield pd.DataFrame({"row": list(r)})
-
-    # An observation's entries must meet; sorting within partitions brings them one after another.
-    parts = long.repartition("structure_id", "obs").sortWithinPartitions("structure_id", "obs")
-    rows = parts.mapInPandas(run, "row array<double>").toPandas()
-    return _reduce([np.zeros((0, n)), np.array(rows.row.tolist(), float).reshape(-1, n)]) if len(rows) else np.zeros((0, n))
-
-
 def prior_factor(descriptors: dict[str, Descriptor], jitter: float) -> np.ndarray:
     """Upper Cholesky factor of the sparse points' covariance, block by block."""
     m = sum(d.n_sparse() for d in descriptors.values())
@@ -126,7 +78,7 @@ def prior_factor(descriptors: dict[str, Descriptor], jitter: float) -> np.ndarra
 def solve(factor: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Coefficients of least squares with the prior's rows below."""
     m = len(prior)
-    r = _reduce([factor, np.concatenate([prior, np.zeros((m, 1))], axis=1)])[:m]
+    r = reduced([factor, np.concatenate([prior, np.zeros((m, 1))], axis=1)])[:m]
     return np.linalg.solve(r[:, :m], r[:, m])
 
 
@@ -147,8 +99,7 @@ class GapFit:
                 if not d.points:
                     d.choose(atoms, neighbours)
             s, a = self.rules(structures, atoms)
-            matrix, m = design(a, neighbours, self.descriptors)
-            r = triangular_factor(weighted_design(matrix, targets(s, a), m), m)
+            r, _ = triangular_factor(targets(s, a), a, neighbours, self.descriptors)
         finally:
             neighbours.unpersist()
         c, at = solve(r, prior_factor(self.descriptors, self.jitter)), 0

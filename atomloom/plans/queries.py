@@ -475,9 +475,9 @@ def fit_solve(spark, sf_dir):
     """Coefficients of the pair model fitted to the orders by tall-skinny QR."""
     atoms, n = _neighbours(spark, sf_dir)
     d = {"pair": build("descriptor", TWO_BODY)}
-    matrix, m = fits.design(atoms, n, d)
-    long = fits.weighted_design(matrix, fits.targets(*_observed(spark, sf_dir)), m)
-    c = fits.solve(fits.triangular_factor(long, m), fits.prior_factor(d, 1e-8))
+    s, a = _observed(spark, sf_dir)
+    r, m = fits.triangular_factor(fits.targets(s, a), atoms, n, d)
+    c = fits.solve(r, fits.prior_factor(d, 1e-8))
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(c)], "col_id int, coefficient double")
 
 
