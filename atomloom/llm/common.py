@@ -6,14 +6,11 @@ import os
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most so many bytes may be broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
-#: The driver may collect a table of at most so many bytes.
-COLLECT_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "atomloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
     return folder
 
 
@@ -38,10 +33,45 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now, into the shared folder, and forget the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _filesystem(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared folder now."""
+    system, path = _filesystem(spark, folder)
+    system.delete(path, True)
+
+
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, which must be there, when the driver ends."""
+    system, path = _filesystem(spark, folder)
+    system.deleteOnExit(path)
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Compute now, into Parquet files of the shared folder, and read them again.
+
+    The lineage ends there, so a lost executor costs nothing that was computed
+    before; Spark knows the table's size; and the files go with the driver, or
+    with ``discard``.
+    """
+    spark = df.sparkSession
+    folder = fresh_dir(spark, name)
+    df.write.parquet(folder)
+    remove_at_end(spark, folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.__dict__["_cut_folder"] = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        folder = t.__dict__.pop("_cut_folder", None)
+        if folder:
+            remove(t.sparkSession, folder)
 
 
 def sized(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -53,10 +83,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -15,8 +15,10 @@ of the values found are compared.  The search is exact: it finds the pairs that
 comparing all pairs finds.
 
 Scale.  A block tree has 65,536 nodes at most, whatever the corpus.  The
-fingerprints that a tree's leaves lead to are broadcast in shards of at most
-SHARD_ROWS (24 MB each); every shard is searched by all fingerprints.  Equal
+fingerprints that a tree's nodes lead to are broadcast in shards of about
+SHARD_ROWS (24 MB each), one after another; every shard is searched by all
+fingerprints, and what crowded block values pair is compared in portions of
+PAIRS_AT_ONCE, so memory doesn't grow with them.  Equal
 fingerprints collapse before the search and each task passes on only a
 spanning forest of the pairs it found, so a group of a million copies costs a
 million rows, not their square.  Components come from alternating large-star
@@ -41,12 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernels as tk
-from .common import cut, read, require, shielded, sized, unshielded
+from .common import cut, discard, read, require, shielded, sized, unshielded
 
 RADIUS = 18
 BLOCKS = 8
 #: Rows of a broadcast shard of fingerprints.
 SHARD_ROWS = 1 << 20
+#: Fingerprint pairs that are compared at a time.
+PAIRS_AT_ONCE = 1 << 20
 #: A block's values are searched in ranges of this many, one task each.
 VALUE_RANGE = 1 << 13
 
@@ -210,31 +214,50 @@ class Shard:
         by = np.argsort(v, kind="stable")
         values, start = np.unique(v[by], return_index=True)
         count = np.diff(np.concatenate([start, [len(v)]]))
-        out = []
+        out = [np.zeros((2, 0), np.int64)]
         for lo in range(0, len(values), 512):
             vq, node = tree.within(values[lo : lo + 512], radius)
             vq = vq + lo
-            # Each value pair stands for count[query] * size[node] fingerprint pairs.
-            per = size[node]
-            q = np.repeat(vq, per)
-            last = np.cumsum(per)
-            other = order[np.arange(last[-1] if len(last) else 0) + np.repeat(first[node] - (last - per), per)]
-            times = count[q]
-            last = np.cumsum(times)
-            mine = by[np.arange(last[-1] if len(last) else 0) + np.repeat(start[q] - (last - times), times)]
-            other = np.repeat(other, times)
-            keep = rep[mine] < self.rep[other]
-            mine, other = mine[keep], other[keep]
-            d = np.bitwise_count(fp[mine, 0] ^ self.fp[other, 0]).astype(np.int16)
-            d += np.bitwise_count(fp[mine, 1] ^ self.fp[other, 1])
-            near = d <= whole
-            if near.any():
-                out.append(np.stack(forest(rep[mine[near]], self.rep[other[near]])))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            # A value pair stands for count[vq] * size[node] fingerprint pairs; crowded ones are cut, by the queries' rows.
+            for begin, rows, post, many in _portions(start[vq], count[vq], first[node], size[node]):
+                other = order[_spans(post, many)]
+                per = np.repeat(rows, many)
+                mine = by[_spans(np.repeat(begin, many), per)]
+                other = np.repeat(other, per)
+                keep = rep[mine] < self.rep[other]
+                mine, other = mine[keep], other[keep]
+                d = np.bitwise_count(fp[mine, 0] ^ self.fp[other, 0]).astype(np.int16)
+                d += np.bitwise_count(fp[mine, 1] ^ self.fp[other, 1])
+                near = d <= whole
+                if near.any():
+                    out.append(np.stack(forest(rep[mine[near]], self.rep[other[near]])))
         return tuple(np.concatenate(out, axis=1))
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges start .. start + size, one after another."""
+    last = np.cumsum(size)
+    return np.arange(last[-1] if len(last) else 0) + np.repeat(start - (last - size), size)
+
+
+def _portions(begin: np.ndarray, rows: np.ndarray, post: np.ndarray, many: np.ndarray, limit: int = PAIRS_AT_ONCE):
+    """The products rows x many of value pairs, in portions of about ``limit`` fingerprint pairs."""
+    wide = rows * many > limit
+    if wide.any():
+        step = np.maximum(1, limit // many[wide])
+        pieces = -(-rows[wide] // step)
+        of = np.repeat(np.flatnonzero(wide), pieces)
+        at = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * np.repeat(step, pieces)
+        cut_rows = np.minimum(np.repeat(step, pieces), rows[of] - at)
+        begin, rows = np.concatenate([begin[~wide], begin[of] + at]), np.concatenate([rows[~wide], cut_rows])
+        post, many = np.concatenate([post[~wide], post[of]]), np.concatenate([many[~wide], many[of]])
+    portion = np.cumsum(rows * many) // limit
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(portion)) + 1, [len(rows)]]).astype(int)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            yield begin[a:b], rows[a:b], post[a:b], many[a:b]
+
+
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, f0, f1) of the documents that take part."""
 
@@ -269,7 +292,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     radii = block_radii(radius)
     n = prints.count()
     n_shards = max(1, -(-n // SHARD_ROWS))
-    prints = cut(prints.withColumn("shard", F.pmod(F.xxhash64("f0", "f1"), F.lit(n_shards))))
+    prints = cut(prints.withColumn("shard", F.pmod(F.xxhash64("f0", "f1"), F.lit(n_shards))), "prints")
     blocks = [F.shiftright(f, 16 * k).bitwiseAND(0xFFFF) for f in (F.col("f0"), F.col("f1")) for k in range(4)]
     spread = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), (v / VALUE_RANGE).cast("int").alias("r")) for j, v in enumerate(blocks)])).alias("x")
     # Whole tasks by (block, value range), and by shares of a range where it is crowded.
@@ -277,31 +300,41 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     probes = prints.select("f0", "f1", "rep", spread).select("f0", "f1", "rep", "x.j", "x.r", F.pmod(F.col("f0"), F.lit(share)).alias("s"))
     # A set number of tasks: the search is long for its few bytes, so tasks must not be merged by size.
     tasks = BLOCKS * (65536 // VALUE_RANGE) * share
-    edges = None
+    edges = []
     for s in range(n_shards):
         t = prints.where(F.col("shard") == s).select("f0", "f1", "rep").toArrow()
         shard = spark.sparkContext.broadcast(
             Shard(np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(tk.U64) if len(t) else np.zeros((0, 2), tk.U64), t["rep"].to_numpy())
         )
-
         found = probes.repartition(tasks, "j", "r", "s").groupBy("j", "r", "s").applyInPandas(_searcher(shard, radii, radius), "a long, b long")
-        edges = found if edges is None else edges.unionByName(found)
-    return edges
+        # A shard's search ends before the next shard is made, so the driver and the executors hold one.
+        edges.append(cut(found, "edges"))
+        shard.unpersist()
+    discard(prints)
+    return _union(edges)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, by alternating large and small stars."""
-    e = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct())
+    e = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "stars")
     while True:
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
+        large = cut(large, "stars")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = cut(small)
+        new = cut(small, "stars")
         # Done when no edge changed: all are stars with the least node as centre.
         changed = new.select("a", "b").exceptAll(e.select("a", "b")).limit(1).count() + e.select("a", "b").exceptAll(new.select("a", "b")).limit(1).count()
+        discard(e, large)
         e = new
         if not changed:
             return e.select(F.col("a").alias("node"), F.col("b").alias("label"))

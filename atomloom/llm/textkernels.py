@@ -5,7 +5,8 @@ call handles thousands of documents without a Python loop over words.
 
 A *word* is a maximal run of ASCII letters, ASCII digits or non-ASCII
 characters of the lower-cased text; everything else separates words.  Null
-texts count as empty texts: they own no word.
+texts count as empty texts: they own no word.  Bytes of a text that aren't
+UTF-8 (Spark doesn't check what files bring) read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -60,6 +61,17 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def sound(column: pa.Array) -> pa.Array:
+    """The column with valid UTF-8 only; a valid one is returned as it is."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+        raw = column.view(kind).to_pylist()
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], column.type)
+    return column
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
     column = pc.fill_null(column, "")
@@ -110,7 +122,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     Returns (hash, start byte, end byte, word offsets by text, byte offsets by
     text); the bytes are those of the lower-cased column.
     """
-    data, offsets = flat_text(pc.utf8_lower(pc.fill_null(column, "")))
+    data, offsets = flat_text(pc.utf8_lower(pc.fill_null(sound(column), "")))
     starts, ends, cuts = word_spans(data, offsets)
     if not len(starts):
         return np.zeros(0, U64), starts, ends, cuts, offsets

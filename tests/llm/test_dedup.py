@@ -1,5 +1,8 @@
 """Operators 2 and 8 against brute force."""
 
+import functools
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -11,19 +14,50 @@ from conftest import CLASHES, words
 SF = "/root/testdata/sf0.001"
 
 
+M64 = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15
+
+
+def mixed(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & M64
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & M64
+    return x ^ x >> 33
+
+
+@functools.lru_cache(None)
+def word_bits(word):
+    h = 0
+    for b in reversed(word.encode()):
+        h = (h * BASE + b + 1) & M64
+    h = mixed(h)
+    return mixed((h + 0x5851F42D4C957F2D) & M64) | mixed((h + 0x14057B7EF767814F) & M64) << 64
+
+
+def simhash(text):
+    """The fingerprint from its definition, or None of a text without words."""
+    ws = set(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower()))
+    if not ws:
+        return None
+    out, bits = 0, [word_bits(w) for w in ws]
+    for k in range(128):
+        if 2 * sum(b >> k & 1 for b in bits) > len(ws):
+            out |= 1 << k
+    return out
+
+
 def brute_groups(ids, texts):
-    fp, has = near_dup.fingerprints(pa.array(texts, pa.string()))
-    label = {i: i for i, h in zip(ids, has) if h and i is not None}
-    rows = [(i, f) for i, f, h in zip(ids, fp, has) if h and i is not None]
+    rows = [(i, f) for i, f in zip(ids, map(simhash, texts)) if f is not None and i is not None]
+    label = {i: i for i, _ in rows}
     changed = True
+    pairs = [(i, j) for i, f in rows for j, g in rows if (f ^ g).bit_count() <= near_dup.RADIUS]
     while changed:
         changed = False
-        for i, f in rows:
-            for j, g in rows:
-                if int(np.bitwise_count(f ^ g).sum()) <= near_dup.RADIUS:
-                    low = min(label[i], label[j])
-                    changed |= label[i] != low or label[j] != low
-                    label[i] = label[j] = low
+        for i, j in pairs:
+            low = min(label[i], label[j])
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
     return label
 
 
@@ -73,6 +107,46 @@ def test_a_fingerprint_does_not_depend_on_its_neighbours():
     assert near_dup.fingerprints(pa.array([*others[:40], text, long, text]))[0][[40, 42]].tolist() == [alone, alone]
 
 
+def test_fingerprints_by_hand():
+    rng = np.random.default_rng(11)
+    texts = [words(rng, 200), "", None, "One one ONE two", words(rng, 4000), "é É 漢", "?!", "a b"]
+    fp, has = near_dup.fingerprints(pa.array(texts))
+    for t, f, h in zip(texts, fp.tolist(), has):
+        want = simhash(t)
+        assert h == (want is not None)
+        if h:
+            assert f[0] | f[1] << 64 == want
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = (sorted(map(tuple, near_dup.mark(docs.repartition(n)).collect())) for n in (1, 64))
+    assert one == many
+
+
+def test_crowded_blocks_are_compared_in_portions():
+    rng = np.random.default_rng(12)
+    fp = rng.integers(0, 2**63, (900, 2)).astype(np.uint64)
+    fp[:, 0] &= ~np.uint64(0xFFFF)  # all share a block's value
+    fp[450:] = fp[:450] ^ np.uint64(1 << 20)
+    rep = np.arange(900)
+    shard = near_dup.Shard(fp, rep)
+    want = {tuple(x) for x in np.stack(shard.pairs(0, 2, fp, rep, 18)).T.tolist()}
+    assert len(want) == 450
+    begin, rows, post, many = (np.array(x) for x in ([0, 900, 7], [900, 3, 1], [0, 5, 900], [900, 4, 2000]))
+    seen = []
+    for b, r, p, m in near_dup._portions(begin, rows, post, many, 1000):
+        assert (r * m).sum() <= 3000
+        seen += [(x, y) for i in range(len(b)) for x in range(b[i], b[i] + r[i]) for y in range(p[i], p[i] + m[i])]
+    assert sorted(seen) == sorted((x, y) for i in range(3) for x in range(begin[i], begin[i] + rows[i]) for y in range(post[i], post[i] + many[i]))
+
+
+def test_invalid_utf8(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"some \xff words here")), (2, bytearray(b"some \xff words here"))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    got = near_dup.mark(docs).collect()
+    assert {r.group_id for r in got} == {1}
+
+
 def test_copies_in_unequal_chunks_are_one_group(documents):
     rng = np.random.default_rng(9)
     text = words(rng, 300)
