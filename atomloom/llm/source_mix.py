@@ -1,52 +1,56 @@
 """Operator 6: mix sources to target weights by hash thresholds.
 
-A source's budget is its weight's share of the level's percentage of all tokens.
-A source that has less gives all it has (no document is repeated); one that has
-more is cut.  Each document has a 60-bit hash of its id, and of each source the
-documents of the lowest hashes are taken, as many as the budget allows, so a mix
-of a smaller budget is a subset of every mix of a larger one.  The
+The largest mix is the largest at which the weights hold: a source's budget is
+its weight times a common unit, the least of all sources' total / weight, so the
+scarcest source is taken whole and the others are cut in proportion.  A source
+that has less than TINY_PERCENT of its target share of all tokens doesn't set
+the unit (else a nearly empty source would empty the mix): it gives all it has,
+and stays below its share.  A level takes a percentage of every budget, so the
+weights hold at each level, to within a document.
+
+Each document has a 60-bit hash of its id, and of each source the documents of
+the lowest hashes are taken, as many as the budget allows, so a mix of a smaller
+budget is a subset of every mix of a larger one; no document is repeated.  The
 threshold of each (source, level) comes from a histogram of tokens over hash
 buckets: find the bucket in which the budget ends, split only that bucket by
 the hash's next bits, and so on, until the hash has no bits left.  Documents
 are then filtered by one comparison; they are never sorted or shuffled.
 
-So the weights are held only at levels for which each source has its budget; at
-higher levels a source that is short has less than its target share and the
-others have more.  With ``hold`` the levels are percentages of the largest mix
-at which the weights hold, whichever level is taken; a source that has less than
-TINY_PERCENT of its target share of all tokens doesn't set that mix's size and
-gives what it has.  The query, its SQL twin and the pipeline don't use it.
-
-Tokens of a text are its space-separated pieces, spaces + 1; an empty or null
-text has none.
+Tokens are whatever ``count`` makes of the documents; by default a text's
+space-separated pieces, spaces + 1, which SQL can count too (an empty or null
+text has none).  ``unigram_counts`` counts by operator 5's vocabulary.
 
 Defined cases: a null source counts as the empty source; a null doc_id hashes
 as the empty string; rows of equal doc_id (repeated rows, null ids) share a
 hash and are taken or left together; a document that alone exceeds what is
 left of the budget ends its source's selection; an empty table gives an empty
-result; a source of weight 0 gives no row; other columns, whatever their
-names, pass through ``select_documents`` untouched.
+result; a source of weight 0 gives no row; sources without any token don't set
+the unit and are kept; other columns, whatever their names, pass through
+``select_documents`` untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read, require, shielded, sized, unshielded
+from .common import cut, discard, read, require, shielded, sized, unshielded
+from .token_count import count_tokens
 
 HASH_BITS = 60
 BUCKET_BITS = 12
 #: Target weights, whole numbers; sources that aren't named have DEFAULT_WEIGHT.
 WEIGHTS: Mapping[str, int] = {"src0": 4}
 DEFAULT_WEIGHT = 1
-#: Nested budgets, in percent of all tokens; each is split over the sources by weight.
+#: Nested mixes, in percent of the largest mix at which the weights hold.
 LEVELS: Sequence[int] = (25, 50, 100)
 SEED = "mix"
-#: With ``hold``, a source of less than this percentage of its target share doesn't bound the mix.
+#: So many rows of boundary buckets need no further histograms.
+FINISH_ROWS = 1 << 20
+#: A source of less than this percentage of its target share doesn't bound the mix.
 TINY_PERCENT = 1
 
 
@@ -67,11 +71,21 @@ def _weight(source: Column, weights: Mapping[str, int], default: int) -> Column:
     return out.cast("bigint")
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(
+def spaced_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens) by spaces."""
+    return docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
+
+
+def unigram_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens) by operator 5's vocabulary, counted where the documents are."""
+    return count_tokens(docs, carry=("source",)).select("doc_id", "source", "n_tokens")
+
+
+def _narrow(counted: DataFrame) -> DataFrame:
+    return counted.select(
         F.coalesce("source", F.lit("")).alias("mix_source"),
         id_hash(F.col("doc_id")).alias("mix_hash"),
-        token_count(F.col("text")).alias("mix_tokens"),
+        F.col("n_tokens").alias("mix_tokens"),
     )
 
 
@@ -80,32 +94,30 @@ def thresholds(
     weights: Mapping[str, int] = WEIGHTS,
     default_weight: int = DEFAULT_WEIGHT,
     levels: Sequence[int] = LEVELS,
-    hold: bool = False,
+    count: Callable[[DataFrame], DataFrame] = spaced_counts,
 ) -> DataFrame:
     """(mix_source, mix_level, mix_below): at level i, 1 for the smallest, a source gives its documents of hash < mix_below."""
     require(docs, "doc_id", "text", "source")
     levels = sorted(int(x) for x in levels)
-    # One row per (source, hash) is enough from here on, and it is narrow.
-    narrow = cut(_narrow(docs).groupBy("mix_source", "mix_hash").agg(F.sum("mix_tokens").alias("mix_tokens")))
+    # Narrow rows, written once; only histograms are shuffled from here on.
+    narrow = cut(_narrow(count(docs)), "mix")
     shift = HASH_BITS - BUCKET_BITS
     top = cut(narrow.groupBy("mix_source", F.shiftright("mix_hash", shift).alias("bucket")).agg(F.sum("mix_tokens").alias("t")))
     weight = _weight(F.col("mix_source"), weights, default_weight)
     total = top.groupBy("mix_source").agg(F.sum("t").alias("total")).withColumn("w", weight).where("w > 0")
     whole = total.agg(F.sum("total").alias("all_tokens"), F.sum("w").alias("all_w"))  # one row
-    each = F.expr("all_tokens * w div all_w")
-    if hold:
-        bound = total.crossJoin(F.broadcast(whole)).where(f"total > 0 and total * all_w * 100 >= all_tokens * w * {TINY_PERCENT}")
-        whole = bound.agg(F.coalesce(F.min(F.expr("total div w")), F.lit(0)).alias("unit"))
-        each = F.expr("unit * w")
+    bound = total.crossJoin(F.broadcast(whole)).where(f"total > 0 and total * all_w * 100 >= all_tokens * w * {TINY_PERCENT}")
+    unit = bound.agg(F.coalesce(F.min(F.expr("total div w")), F.lit(0)).alias("unit"))  # one row
     budget = (
-        total.crossJoin(F.broadcast(whole))
-        .select("mix_source", each.alias("b"), F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("i", "percent"))
+        total.crossJoin(F.broadcast(unit))
+        .select("mix_source", F.expr("unit * w").alias("b"), F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("i", "percent"))
         .select("mix_source", (F.col("i") + 1).alias("mix_level"), F.expr("b * percent div 100").alias("left"))
     )
     # state: all hashes below base are in; of the bucket from base on, `left` tokens may still come in.
     state = budget.withColumn("base", F.lit(0).cast("bigint"))
     state = cut(_descend(state, top, shift))
     rows = narrow
+    discard(top)
     while shift > 0:
         keys = state.where("open").select(F.col("mix_source").alias("k_source"), F.shiftright("base", shift).alias("k_bucket")).distinct()
         # Only the boundary buckets' rows go on; after the first round these are few.
@@ -113,10 +125,16 @@ def thresholds(
         n = keys.count()
         if not n:
             break
-        rows = cut(rows.join(sized(keys, n, 64), there, "left_semi"))
-        above, shift = shift, max(0, shift - BUCKET_BITS)
+        fewer = cut(rows.join(sized(keys, n, 64), there, "left_semi"), "mix")
+        discard(rows)
+        rows = fewer
+        # Few rows are split by all the bits that are left at once: the result is the same.
+        above, shift = shift, 0 if rows.count() <= FINISH_ROWS else max(0, shift - BUCKET_BITS)
         hist = rows.groupBy("mix_source", F.shiftright("mix_hash", shift).alias("bucket")).agg(F.sum("mix_tokens").alias("t"))
-        state = cut(_descend(state.where("open").drop("open"), hist, shift, above).unionByName(state.where("not open")))
+        deeper = cut(_descend(state.where("open").drop("open"), hist, shift, above).unionByName(state.where("not open")), "mix")
+        discard(state)
+        state = deeper
+    discard(rows)
     return state.select("mix_source", "mix_level", F.col("base").alias("mix_below"))
 
 
@@ -156,16 +174,16 @@ def _joined(docs: DataFrame, limits: DataFrame) -> DataFrame:
     return keyed.join(wide, F.col("mix_key") == F.col("mix_source")).withColumn("mix_in", level).where("mix_in is not null")
 
 
-def select_documents(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS, hold: bool = False) -> DataFrame:
+def select_documents(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS, count: Callable[[DataFrame], DataFrame] = spaced_counts) -> DataFrame:
     """The documents of the largest mix, with the columns that ``docs`` has."""
     require(docs, "doc_id", "text", "source")
     plain, back = shielded(docs, "doc_id", "source")
-    return unshielded(_joined(plain, thresholds(docs, weights, default_weight, levels, hold)), back)
+    return unshielded(_joined(plain, thresholds(docs, weights, default_weight, levels, count)), back)
 
 
-def assign_levels(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS, hold: bool = False) -> DataFrame:
+def assign_levels(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, levels: Sequence[int] = LEVELS, count: Callable[[DataFrame], DataFrame] = spaced_counts) -> DataFrame:
     """(doc_id, source, n_tokens, mix_level): the smallest mix that holds each document; documents in no mix are left out."""
-    out = _joined(docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), thresholds(docs, weights, default_weight, levels, hold))
+    out = _joined(count(docs), thresholds(docs, weights, default_weight, levels, count))
     return out.select("doc_id", "source", "n_tokens", F.col("mix_in").cast("bigint").alias("mix_level"))
 
 
@@ -186,8 +204,9 @@ WITH d AS (
   FROM documents),
 total AS (
   SELECT k, CAST(sum(n_tokens) AS BIGINT) AS total, CASE k {case} ELSE {default} END AS w FROM d GROUP BY k),
-part AS (
-  SELECT k, CAST(sum(total) OVER () AS BIGINT) * w // CAST(sum(w) OVER () AS BIGINT) AS b FROM total WHERE w > 0),
+share AS (SELECT *, CAST(sum(total) OVER () AS BIGINT) AS all_tokens, CAST(sum(w) OVER () AS BIGINT) AS all_w FROM total WHERE w > 0),
+unit AS (SELECT coalesce(min(total // w), 0) AS unit FROM share WHERE total > 0 AND total * all_w * 100 >= all_tokens * w * {TINY_PERCENT}),
+part AS (SELECT k, unit * w AS b FROM share, unit),
 budget AS (SELECT k, {caps} FROM part),
 run AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY k ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d)
