@@ -10,8 +10,11 @@ byte each.  Files are decoded where they are; there is no shuffle.
 Defined cases: a null file gives one row of null shape and the error ``null``;
 an empty or malformed file, or one whose directories form a ring, gives its
 sound pages and then a row with the error; a page that can't be decoded (unknown
-compression, short data) has its error in its own row, and the next page is
-still read; other columns aren't read; repeated rows are decoded each.
+compression, short data, sizes or offsets that aren't whole numbers, more pixels
+than a binary value can hold) has its error in its own row, and the next page is
+still read; other columns aren't read; a key column that is named like one of
+the page's columns comes out as ``file_`` and its name; repeated rows are decoded
+each.
 """
 
 from __future__ import annotations
@@ -26,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkernels as tk
 from .common import read, require
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-#: Pages of more bytes than this are refused.
-MAX_PAGE_BYTES = 1 << 30
+#: What a binary value can hold, with room for the rest of its row.
+MAX_PAGE_BYTES = (1 << 31) - (1 << 20)
+#: No compression makes more of a byte than this, so a size that would need more is wrong.
+MAX_RATIO = {NONE: 1, PACKBITS: 64, DEFLATE: 1100, OLD_DEFLATE: 1100, LZW: 4096}
 
 
 class BadTiff(ValueError):
@@ -84,44 +90,83 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_STEP = np.arange(1 << 16)
+#: Width of each code behind a clear code, and where it begins in bits: the table has grown by one entry for each but the first.
+_WIDTH = np.select([_STEP < 254, _STEP < 766, _STEP < 1790], [9, 10, 11], 12)
+_BEGIN = np.cumsum(_WIDTH) - _WIDTH
+
+
+def _lzw_codes(window: np.ndarray, at: int, n_bits: int) -> np.ndarray:
+    """Codes from bit ``at`` up to and with the next clear or end code, or to the end of the data."""
+    tried = 4200
+    while True:
+        n = min(tried, len(_STEP), int(np.searchsorted(_BEGIN + _WIDTH, n_bits - at, side="right")))
+        bit = at + _BEGIN[:n]
+        codes = window[bit >> 3] >> (24 - _WIDTH[:n] - (bit & 7)) & ((1 << _WIDTH[:n]) - 1)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        if len(stop):
+            return codes[: stop[0] + 1]
+        if n < tried:
+            return codes
+        if tried >= len(_STEP):
+            raise BadTiff("LZW never clears its table")
+        tried *= 4
+
+
+def _lzw_strings(codes: np.ndarray, size: int) -> tuple[bytes, bool]:
+    """What codes without a clear code between them say, and whether all are known.
+
+    Entry 258 + j is code j's string and the next byte of the output, so a code
+    is a pointer to earlier output: lengths and bytes are found by doubling
+    pointers, all at once.
+    """
+    known = codes <= 257 + np.arange(len(codes))
+    known[:1] = codes[:1] < 256
+    bad = np.flatnonzero(~known)
+    if len(bad):
+        codes = codes[: bad[0]]
+    parent = np.where(codes < 256, -1, codes - 258)
+    length = np.ones(len(codes), np.int64)
+    up = parent.copy()
+    while (go := np.flatnonzero(up >= 0)).size:
+        length[go] += length[up[go]]
+        up[go] = up[up[go]]
+    last = np.cumsum(length)
+    start = last - length
+    total = int(last[-1]) if len(last) else 0
+    if len(bad) and total < size:
+        return b"", False
+    owner = np.repeat(np.arange(len(codes)), length)
+    at = np.arange(total)
+    literal = parent[owner] < 0
+    source = np.where(literal, at, start[parent[owner]] + at - start[owner])
+    value = np.where(literal, codes[owner], 0).astype(np.uint8)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    return value[source].tobytes(), True
+
+
 def unlzw(data: bytes, size: int) -> bytes:
     """LZW with the most significant bit first and the code width raised one code early."""
-    base = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, out, held = base.copy(), 9, [], 0
-    value, bits, last, n = 0, 0, b"", 258
-    for byte in data:
-        value = value << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = value >> bits
-        value &= (1 << bits) - 1
-        if code == 256:
-            table, width, last, n = base.copy(), 9, b"", 258
-            continue
-        if code == 257:
+    raw = np.frombuffer(data + bytes(3), np.uint8).astype(np.int64)
+    window = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+    out, held, at, n_bits = [], 0, 0, 8 * len(data)
+    while held < size and n_bits - at >= 9:
+        codes = _lzw_codes(window, at, n_bits)
+        if not len(codes):
             break
-        if not last:
-            if code > 257:
-                raise BadTiff("LZW begins with an unknown code")
-            entry = table[code]
-        else:
-            if code < n:
-                entry = table[code]
-            elif code == n:
-                entry = last + last[:1]
-            else:
-                raise BadTiff("LZW has an unknown code")
-            table.append(last + entry[:1])
-            n += 1
-            if n >= 511:
-                width = 10 if n < 1023 else 11 if n < 2047 else 12
-        out.append(entry)
-        held += len(entry)
-        last = entry
-        if held >= size:
+        ends = codes[-1] in (256, 257)
+        text, sound = _lzw_strings(codes[:-1] if ends else codes, size - held)
+        if not sound:
+            raise BadTiff("LZW has an unknown code")
+        out.append(text)
+        held += len(text)
+        if codes[-1] != 256:
             break
+        at += int(_BEGIN[len(codes) - 1] + _WIDTH[len(codes) - 1])
     return b"".join(out)
 
 
@@ -163,6 +208,10 @@ def lzw(data: bytes) -> bytes:
 
 
 def expand(data: bytes, compression: int, size: int) -> bytes:
+    if compression not in MAX_RATIO:
+        raise BadTiff(f"compression {compression} isn't known")
+    if size > len(data) * MAX_RATIO[compression] + 64:
+        raise BadTiff("a strip or tile is short")
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
@@ -172,9 +221,7 @@ def expand(data: bytes, compression: int, size: int) -> bytes:
             raise BadTiff(f"deflate: {e}") from e
     if compression == LZW:
         return unlzw(data, size)
-    if compression == PACKBITS:
-        return unpackbits(data, size)
-    raise BadTiff(f"compression {compression} isn't known")
+    return unpackbits(data, size)
 
 
 @dataclass
@@ -205,10 +252,9 @@ class _File:
         self.first = self.get("Q", 8) if self.big else self.get("I", 4)
 
     def get(self, code: str, at: int):
-        try:
-            return struct.unpack_from(self.order + code, self.data, at)[0]
-        except struct.error as e:
-            raise BadTiff("an offset leads out of the file") from e
+        if at + struct.calcsize("=" + code) > len(self.data):
+            raise BadTiff("an offset leads out of the file")
+        return struct.unpack_from(self.order + code, self.data, at)[0]
 
     def directory(self, at: int) -> tuple[dict[int, tuple], int]:
         n, at = (self.get("Q", at), at + 8) if self.big else (self.get("H", at), at + 2)
@@ -256,10 +302,19 @@ def _samples(block: bytes, rows: int, width: int, samples: int, bits: int, predi
 
 
 def _page(f: _File, tags: dict[int, tuple], page: Page) -> None:
-    one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
+
+    def whole(tag: int, default: tuple = ()) -> tuple:
+        values = tags.get(tag) or default
+        if values and (not isinstance(values[0], int) or min(values) < 0):
+            raise BadTiff(f"tag {tag} isn't of whole numbers")
+        return values
+
+    def one(tag: int, default: int | None = None) -> int | None:
+        return (whole(tag) or (default,))[0]
+
     page.width, page.height = one(256), one(257)
     page.samples, page.compression, page.predictor = one(277, 1), one(259, 1), one(317, 1)
-    depths = tags.get(258, (1,))
+    depths = whole(258, (1,))
     page.bits, page.tiled = depths[0], 322 in tags
     page.sample_format = {1: "uint", 2: "int", 3: "float"}.get(one(339, 1), "uint")
     w, h, s, bits = page.width, page.height, page.samples, page.bits
@@ -275,10 +330,10 @@ def _page(f: _File, tags: dict[int, tuple], page: Page) -> None:
     per = s // planes
     if page.tiled:
         bw, bh = one(322), one(323)
-        offsets, sizes = tags.get(324, ()), tags.get(325, ())
+        offsets, sizes = whole(324), whole(325)
     else:
         bw, bh = w, min(one(278, h), h)
-        offsets, sizes = tags.get(273, ()), tags.get(279, ())
+        offsets, sizes = whole(273), whole(279)
     if not bw or not bh:
         raise BadTiff("strips or tiles have no size")
     across, down = -(-w // bw), -(-h // bh)
@@ -383,7 +438,8 @@ def decode(files: DataFrame, key: str, column: str) -> DataFrame:
     """One row per page of the TIFF files in ``column``, with the row's ``key`` (a whole number)."""
     require(files, key, column)
     fields = [x.split() for x in ROW_SCHEMA.split(", ")]
-    schema = pa.schema([(key, pa.int64())] + [(n, _KINDS[k]) for n, k in fields])
+    name = f"file_{key}" if key.lower() in [n for n, _ in fields] else key
+    schema = pa.schema([(name, pa.int64())] + [(n, _KINDS[k]) for n, k in fields])
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(len(schema))], schema=schema)
@@ -401,7 +457,7 @@ def decode(files: DataFrame, key: str, column: str) -> DataFrame:
             if rows:
                 yield emit(rows)
 
-    return files.select(F.col(key).cast("bigint").alias(key), column).mapInArrow(run, f"{key} long, {ROW_SCHEMA}")
+    return files.select(F.col(f"`{key}`").cast("bigint").alias(name), column).mapInArrow(run, f"`{name}` long, {ROW_SCHEMA}")
 
 
 #: Width and rows of the rasters that pages are printed on, for the query.
@@ -431,7 +487,7 @@ def as_rasters(table: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
-                files = [None if t is None else raster(k, t.encode("utf-8", "surrogatepass")) for k, t in zip(*(c.to_pylist() for c in part.columns))]
+                files = [None if t is None else raster(k, t.encode()) for k, t in zip(part.column(0).to_pylist(), tk.sound(part.column(1)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], [key, "tiff"])
 
     return table.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} long, tiff binary")
