@@ -6,12 +6,17 @@ over i's neighbours is a group-by on i alone.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.functions import expr
 
-from .structures import cell
+from .structures import cell as _axis
+
+#: Structures of more atoms are searched by cells.
+CELL_ATOMS = 64
 
 
 def range_pairs(points: DataFrame, cutoff: float, group: str = "g", key: str = "i", coordinates: tuple[str, ...] = ("x",), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -32,7 +37,7 @@ def image_offsets(structures: DataFrame, cutoff: float) -> DataFrame:
     height across the other two axes, which holds for skewed cells too.
     """
     lattice = F.col("lattice")
-    axes = [cell(lattice, k) for k in range(3)]
+    axes = [_axis(lattice, k) for k in range(3)]
     ranges = []
     for k in range(3):
         normal = expr.unit(expr.cross(axes[(k + 1) % 3], axes[(k + 2) % 3]))
@@ -46,21 +51,38 @@ def image_offsets(structures: DataFrame, cutoff: float) -> DataFrame:
 
 
 def find_neighbours(structures: DataFrame, atoms: DataFrame, cutoff: float) -> DataFrame:
-    """(structure_id, i, j, species_i, species_j, ox, oy, oz, rx, ry, rz, d) of all neighbours, both directions and all images."""
-    # The box of all of a structure's atoms rules out most image offsets before any pair is made.
-    box = atoms.groupBy("structure_id").agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    """(structure_id, i, j, species_i, species_j, ox, oy, oz, rx, ry, rz, d) of all neighbours, both directions and all images.
+
+    Space is cut into cells as wide as the cutoff, and an atom meets the images
+    in its cell and the 26 around it, so the work of a large structure grows with
+    its atoms and spreads over tasks by cell.  A structure of at most CELL_ATOMS
+    atoms is one cell: there the look at the cells would cost more than it saves.
+    """
+    box = atoms.groupBy("structure_id").agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))], (F.count(F.lit(1)) > CELL_ATOMS).alias("large"))
+    # The box of all of a structure's atoms rules out most image offsets before any image is made.
     reach = F.lit(True)
     for c in "xyz":
         span = F.col(f"hi_{c}") - F.col(f"lo_{c}") + cutoff
         reach &= F.abs(F.col(f"o{c}")) <= span + 1e-9
-    offsets = image_offsets(structures, cutoff).join(box, "structure_id").where(reach).select("structure_id", "ox", "oy", "oz")
+    offsets = image_offsets(structures, cutoff).join(box, "structure_id").where(reach)
     a = atoms.select("structure_id", F.col("atom_id").alias("i"), F.col("species").alias("species_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"))
     b = atoms.select("structure_id", F.col("atom_id").alias("j"), F.col("species").alias("species_j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"))
-    # Images first, then pairs with a condition that needs no root.
-    images = b.join(offsets, "structure_id").withColumns({f"{c}j": F.col(f"{c}j") + F.col(f"o{c}") for c in "xyz"})
+    # Images beyond the cutoff around the box meet no atom.
+    inside = F.lit(True)
+    for c in "xyz":
+        inside &= (F.col(f"{c}j") >= F.col(f"lo_{c}") - cutoff - 1e-9) & (F.col(f"{c}j") <= F.col(f"hi_{c}") + cutoff + 1e-9)
+    cell = lambda c, by: F.when(F.col("large"), F.floor((F.col(c) - F.col(f"lo_{c[0]}")) / cutoff)).otherwise(F.lit(0).cast("bigint")) + by
+    images = b.join(offsets, "structure_id").withColumns({f"{c}j": F.col(f"{c}j") + F.col(f"o{c}") for c in "xyz"}).where(inside)
+    images = images.select("structure_id", "j", "species_j", "ox", "oy", "oz", "xj", "yj", "zj", *[cell(f"{c}j", 0).alias(f"cell_{c}") for c in "xyz"])
+    around = F.when(F.col("large"), F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(x, "xyz")]) for x in itertools.product((-1, 0, 1), repeat=3)])).otherwise(
+        F.array(F.struct(*[F.lit(0).alias(n) for n in "xyz"]))
+    )
+    centres = a.join(box.select("structure_id", "large", "lo_x", "lo_y", "lo_z"), "structure_id").withColumn("step", F.explode(around))
+    centres = centres.select("structure_id", "i", "species_i", "xi", "yi", "zi", *[cell(f"{c}i", F.col(f"step.{c}")).alias(f"cell_{c}") for c in "xyz"])
+    # A condition that needs no root.
     r = {f"r{c}": F.col(f"{c}j") - F.col(f"{c}i") for c in "xyz"}
     square = sum(x * x for x in r.values())
-    near = a.join(images, "structure_id").where((square > 0) & (square <= cutoff * cutoff))
+    near = centres.join(images, ["structure_id", "cell_x", "cell_y", "cell_z"]).where((square > 0) & (square <= cutoff * cutoff))
     pairs = near.withColumns(r | {"d": F.sqrt(square)})
     return pairs.select("structure_id", "i", "j", "species_i", "species_j", "ox", "oy", "oz", "rx", "ry", "rz", "d")
 
