@@ -16,8 +16,9 @@ shuffle; what is broadcast is 2**HASH_BITS rows whatever the corpus.
 A document is accepted if its text has at least one letter and the calibrated
 probability of its best language is at least MIN_PROB.
 
-Defined cases: a null or empty text, and one without n-grams of letters, has no
-language (null), confidence 0 and is not accepted; a null label takes no part in
+Defined cases: a null or empty text, and one without letters, has no language
+(null), confidence 0 and is not accepted; of languages of equal probability the
+first by name is given; bytes that aren't UTF-8 read as U+FFFD; a null label takes no part in
 training; with no labelled row nothing is accepted; with labels of one language
 that language is given to every text with letters; repeated rows are scored
 alike, each; n-grams never span two documents; other columns don't matter.
@@ -42,8 +43,8 @@ HASH_BITS = 15
 SAMPLE_ROWS = 3000
 EPOCHS = 3
 HELD_OUT = 5
-#: Below it no language stands out; a text in two languages still passes.
-MIN_PROB = 0.4
+#: The best language must be likelier than all others together.
+MIN_PROB = 0.5
 #: Mean TF-IDF is brought to a scale that suits the learning rate.
 SCALE = 64.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
@@ -52,7 +53,7 @@ _MUL = np.array([[2654435761, 0, 0], [2246822519, 3266489917, 0], [668265263, 37
 
 def ngrams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed n-grams at each character, by order, and the texts' character offsets."""
-    low = pc.utf8_lower(pc.fill_null(column, ""))
+    low = pc.utf8_lower(pc.fill_null(tk.sound(column), ""))
     data, _ = tk.flat_text(low)
     cuts = np.concatenate([[0], np.cumsum(pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64))])
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -132,13 +133,16 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                             seen[(base + h)[inside]] = True
                     df += seen.reshape(len(part), width).sum(0)
         tk.release()
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["df", "n"])
+        feature = np.flatnonzero(df)
+        # Row -1 counts the documents.
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(feature, -1).astype(np.int32)), pa.array(np.append(df[feature], n))], ["feature", "n"])
 
-    df, n = np.zeros(width, np.int64), 0
-    for part in docs.select("text").mapInArrow(run, "df binary, n long").toLocalIterator():
-        df += np.frombuffer(part.df, np.int64)
-        n += part.n
-    return df, n
+    # Each task sends its own counts; executors add them, and the driver gets a row a feature, whatever the corpus.
+    sums = docs.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = sums["feature"].to_numpy(), sums["n"].to_numpy()
+    df = np.zeros(width, np.int64)
+    df[feature[feature >= 0]] = n[feature >= 0]
+    return df, int(n[feature < 0].sum())
 
 
 @dataclass
@@ -153,6 +157,7 @@ class Model:
         """(n, classes) calibrated probabilities, and which texts have a letter."""
         n, c = len(column), len(self.classes)
         out = np.zeros((n, c), np.float64)
+        column = tk.sound(column)
         has = pc.match_substring_regex(pc.fill_null(column, ""), r"\p{L}").to_numpy(zero_copy_only=False)
         for i, j in tk.chunks(tk.flat_text(column)[1]):
             grams, cuts = ngrams(column.slice(i, j - i))
@@ -257,11 +262,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     if not sample.num_rows:
         return None
     df, n = document_frequency(docs)
-    return train(tk_array(sample["text"]), sample["y"].to_pylist(), df, n)
-
-
-def tk_array(column: pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return train(sample["text"].combine_chunks(), sample["y"].to_pylist(), df, n)
 
 
 def _score(model: Model | None, column: pa.Array, min_prob: float) -> tuple[list, np.ndarray, np.ndarray]:
