@@ -22,13 +22,16 @@ measured), and there is no shuffle.
 Defined cases: a null or empty text gives one sequence that holds the
 end-of-text id alone; a null doc_id is -1 in the stream and null in doc_ids;
 repeated rows are written again, each; a text of any length is cut, never
-shortened; the strings of special tokens are ordinary text; an empty table
-gives no stream; other columns aren't read.
+shortened, and long runs of white space are tokenised by the same rules without
+the pattern, whose program overflows on them; bytes that aren't UTF-8 read as
+U+FFFD; the strings of special tokens are ordinary text; an empty table gives no
+stream; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ from .common import read, require
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern has it; runs of so many characters are tokenised apart.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
 END_OF_TEXT = 50256
 SEQUENCE = 1024
 #: Sequences of a record batch, and of a stream (about 12 MB).
@@ -64,11 +69,24 @@ def encoder(path: str):
 
 class Tokeniser:
     def __init__(self, path: str):
-        self.encode = encoder(path).encode_ordinary
+        self.encoder = encoder(path)
+
+    def encode(self, text: str) -> list[int]:
+        # A long run covers sixteen characters at some multiple of 1000.
+        if len(text) < 2000 or not any(text[k : k + 16].isspace() for k in range(0, len(text), 1000)):
+            return self.encoder.encode_ordinary(text)
+        # The pattern takes a run of white space as one piece, but for its last character if a word follows.
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            begin, end = run.start(), run.end() - (run.end() < len(text))
+            ids += self.encoder.encode_ordinary(text[at:begin])
+            ids += self.encoder._encode_single_piece(text[begin:end])
+            at = end
+        return ids + self.encoder.encode_ordinary(text[at:])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and their offsets by text."""
-        parts = [np.array(self.encode(t.as_py() or ""), np.uint16) for t in column]
+        parts = [np.array(self.encode(t or ""), np.uint16) for t in tk.sound(column).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
         return np.concatenate(parts) if parts else np.zeros(0, np.uint16), offsets
 
