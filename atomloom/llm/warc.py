@@ -9,21 +9,27 @@ the file's index rows are held, never the file.  Files are the unit of work;
 there is no shuffle.
 
 Output files and their index are written under a name of the attempt and then
-moved, so a task that runs twice leaves one whole file.
-
-Defined cases: input of several members, or not compressed, is read alike; a
-file that ends within a record (or whose checksum fails, or that is not a WARC
-file from some point on) gives its whole records and then one row of
-warc_type ``error`` with the reason in target_uri and no offset; an empty file
-gives no row; a null path is skipped; a page of null html is a record of empty
-payload, one of null url has no target, and null page_ids are told apart by
-their number in the file; repeated pages are records each; other columns aren't
-read.
+moved, so a task that runs twice leaves one whole file.  A file's new name has
+its old base name and a hash of its whole path, so files of one name in two
+folders don't meet.
+
+Defined cases: input of several members, or not compressed, is read alike, with
+any zero padding behind a member; a record without a header or a usable
+Content-Length gives a row of warc_type ``error`` with the reason in target_uri
+and no offset, and reading goes on at the next line that begins with WARC/; so
+do the records behind a wrong Content-Length; a file that ends within a record,
+or whose compressed stream is broken or fails its checksum, gives its whole
+records and then one such row; an empty file gives no row; a null path is
+skipped, and a path that is given twice is read once; a page of null html is a
+record of empty payload, one of null url has no target, and null page_ids are
+told apart by their number in the file; repeated pages are records each; other
+columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,10 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, read, require
+from . import textkernels as tk
+from .common import cut, fresh_dir, read, remove, remove_at_end, require
 
 BLOCK = 1 << 20
 LEVEL = 6
+MARK = b"WARC/"
+#: A longer header is an error.
+HEADER_BYTES = 16 << 20
 INDEX_SCHEMA = (
     "file string, record_no long, offset long, length long, n_bytes long, warc_type string, record_id string, target_uri string, digest string"
 )
@@ -43,7 +53,11 @@ _NAMES = [x.split()[0] for x in INDEX_SCHEMA.split(", ")]
 
 
 class BadWarc(ValueError):
-    pass
+    """What ends a file; ``resume`` tells whether its next record can be looked for."""
+
+    def __init__(self, reason: str, resume: bool = False):
+        super().__init__(reason)
+        self.resume = resume
 
 
 def inflate(source) -> Iterator[bytes]:
@@ -64,10 +78,10 @@ def inflate(source) -> Iterator[bytes]:
             yield out
         if stream.eof:
             data = stream.unused_data or source.read(BLOCK)
-            if data.strip(b"\0") == b"":  # padding behind the last member
+            while data and not (data := data.lstrip(b"\0")):  # padding behind a member
                 data = source.read(BLOCK)
-                if not data:
-                    return
+            if not data:
+                return
             stream = zlib.decompressobj(31)
         else:
             data = stream.unconsumed_tail or source.read(BLOCK)
@@ -99,14 +113,26 @@ class _Reader:
         self.held = self.held.lstrip(b"\r\n")
         start = 0
         while (end := self.held.find(b"\r\n\r\n", start)) < 0:
-            if len(self.held) > 16 * BLOCK:
-                raise BadWarc("a header has no end")
+            if len(self.held) > HEADER_BYTES or not self.held.startswith(MARK[: len(self.held)]):
+                raise BadWarc("a header has no end" if self.held.startswith(MARK) else f"no WARC header: {self.held[:40]!r}", resume=True)
             start = max(0, len(self.held) - 3)
             if not self.more():
                 raise BadWarc("the file ends within a header")
+        if not self.held.startswith(MARK):
+            raise BadWarc(f"no WARC header: {self.held[:40]!r}", resume=True)
         head, self.held = self.held[: end + 4], self.held[end + 4 :]
         return head
 
+    def resume(self) -> None:
+        """Go on to the next line that begins like a record, or to the end."""
+        self.held = self.held[1:]
+        while (at := self.held.find(b"\n" + MARK)) < 0:
+            self.held = self.held[-len(MARK) :]
+            if not self.more():
+                self.held = b""
+                return
+        self.held = self.held[at + 1 :]
+
     def body(self, n: int) -> Iterator[bytes]:
         while n:
             if not self.held and not self.more():
@@ -125,12 +151,11 @@ def normalise(source, sink) -> Iterator[tuple]:
             if head is None:
                 return
             lines = head.split(b"\r\n")
-            if not lines[0].startswith(b"WARC/"):
-                raise BadWarc(f"no WARC header: {lines[0][:40]!r}")
             fields = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:] if x)}
             length = fields.get(b"content-length", "")
-            if not length.isdigit():
-                raise BadWarc("no Content-Length")
+            if not re.fullmatch("[0-9]{1,18}", length):
+                reader.held = b"\r\n" + reader.held  # the next record may begin right here
+                raise BadWarc("no Content-Length", resume=True)
             member, digest = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), hashlib.sha1()
             # The member is held back until the record is whole, so a cut record leaves no trace.
             out = [member.compress(head)]
@@ -141,7 +166,15 @@ def normalise(source, sink) -> Iterator[tuple]:
             out.append(member.flush())
         except BadWarc as e:
             yield number, None, None, None, "error", None, str(e), None
-            return
+            number += 1
+            if not e.resume:
+                return
+            try:
+                reader.resume()
+            except BadWarc as e:
+                yield number, None, None, None, "error", None, str(e), None
+                return
+            continue
         size = sum(map(len, out))
         for part in out:
             sink.write(part)
@@ -161,10 +194,8 @@ def normalise_files(paths: DataFrame, folder: str) -> DataFrame:
         target.create_dir(root, recursive=True)
         for b in batches:
             for path in b.column(0).to_pylist():
-                if path is None:
-                    continue
                 source, at = fs.FileSystem.from_uri(path)
-                name = at.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".warc") + ".warc.gz"
+                name = member_name(path)
                 part = f"{root}/.{name}.{uuid.uuid4().hex}"
                 rows: list[tuple] = []
                 with source.open_input_stream(at, compression=None) as f, target.open_output_stream(part, compression=None) as g:
@@ -181,7 +212,14 @@ def normalise_files(paths: DataFrame, folder: str) -> DataFrame:
                         _NAMES,
                     )
 
-    return paths.select("path").mapInArrow(run, INDEX_SCHEMA)
+    names = paths.select("path").where("path is not null").distinct()
+    # A file a task: the work is in the files, not in their names.
+    return names.repartitionByRange(max(1, min(names.count(), 100_000)), "path").mapInArrow(run, INDEX_SCHEMA)
+
+
+def member_name(path: str) -> str:
+    stem = path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".warc")
+    return f"{stem}-{hashlib.sha256(path.encode()).hexdigest()[:16]}.warc.gz"
 
 
 def record(page_id, number: int, url: str | None, html: str | None) -> bytes:
@@ -208,7 +246,7 @@ def write_monoliths(pages: DataFrame, folder: str) -> DataFrame:
         stream, n = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
         with system.open_output_stream(part, compression=None) as f:
             for b in batches:
-                for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
+                for page_id, url, html in zip(*(tk.sound(c).to_pylist() if pa.types.is_string(c.type) else c.to_pylist() for c in b.columns)):
                     f.write(stream.compress(record(page_id, n, url, html)))
                     n += 1
             f.write(stream.flush())
@@ -223,10 +261,11 @@ def write_monoliths(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op3_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index of all pages' records: the pages as monolithic files, normalised."""
+    """Index of all pages' records: the pages as monolithic files, normalised; the monolithic files go at once, the others with the driver."""
     folder = fresh_dir(spark, "warc")
-    files = write_monoliths(read(spark, sf_dir, "pages"), f"{folder}/monolithic").select("path").collect()
-    paths = spark.createDataFrame([(r.path,) for r in sorted(files)], "path string").repartition(max(1, len(files)))
-    index = normalise_files(paths, f"{folder}/members")
+    files = cut(write_monoliths(read(spark, sf_dir, "pages"), f"{folder}/monolithic"), "files")
+    remove_at_end(spark, folder)
+    index = cut(normalise_files(files, f"{folder}/members"), "index")
+    remove(spark, f"{folder}/monolithic")
     page = F.regexp_extract("record_id", r"<urn:page:(\d+)>", 1)
     return index.withColumn("page_id", F.when(page != "", page).cast("bigint"))

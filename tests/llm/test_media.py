@@ -1,13 +1,14 @@
 """Operators 1, 3 and 10."""
 
 import gzip
+import hashlib
 import io
 import zlib
 
 import numpy as np
 import pytest
 
-from atomloom.llm import tiff, url_filter, warc
+from atomloom.llm import common, tiff, url_filter, warc
 from helpers import in_duckdb, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -119,6 +120,42 @@ def test_broken_files():
     assert list(warc.normalise(io.BytesIO(b""), io.BytesIO())) == []
 
 
+def test_reading_goes_on_behind_a_bad_record():
+    good = records()
+    no_length = b"WARC/1.0\r\nWARC-Type: x\r\n\r\n"
+    odd = b"WARC/1.0\r\nContent-Length: \xc2\xb2\r\n\r\nab\r\n\r\n"
+    huge = b"WARC/1.0\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n"
+    short = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabcdefgh WARC/ \r\n\r\n"
+    endless = b"WARC/1.0\r\n" + b"X: y\r\n" * (25 << 17)
+    for bad in (no_length, odd, huge, b"junk\r\n\r\n", b"junk" * 400_000 + b"\r\n", endless):
+        for pack in (gzip.compress, bytes):
+            sink = io.BytesIO()
+            rows = list(warc.normalise(io.BytesIO(pack(b"".join([*good[:2], bad, *good[2:]]))), sink))
+            assert [r[4] for r in rows] == ["response"] * 2 + ["error"] + ["response"] * 3
+            assert [r[0] for r in rows] == list(range(6))
+            data = sink.getvalue()
+            assert [gzip.decompress(data[r[1] : r[1] + r[2]]) for r in rows if r[1] is not None] == good
+    rows = list(warc.normalise(io.BytesIO(b"".join([good[0], short, good[1]])), io.BytesIO()))
+    assert [r[4] for r in rows] == ["response", None, "error", "response"]
+    padded = gzip.compress(good[0]) + b"\0" * (3 * warc.BLOCK) + gzip.compress(good[1]) + b"\0" * (2 * warc.BLOCK + 5)
+    assert [r[4] for r in warc.normalise(io.BytesIO(padded), io.BytesIO())] == ["response"] * 2
+
+
+def test_files_of_one_name_do_not_meet(spark, tmp_path):
+    paths = []
+    for k, name in enumerate(("a/x.warc.gz", "b/x.warc.gz", "b/x.warc")):
+        f = tmp_path / name
+        f.parent.mkdir(exist_ok=True)
+        f.write_bytes(b"".join(records(k + 2)))
+        paths.append((f"file://{f}",))
+    table = spark.createDataFrame([*paths, paths[0], (None,)], "path string")
+    rows = warc.normalise_files(table, f"file://{tmp_path}/out").collect()
+    assert len(rows) == 2 + 3 + 4 and len({r.file for r in rows}) == 3
+    for r in rows:
+        data = (tmp_path / "out" / r.file).read_bytes()[r.offset : r.offset + r.length]
+        assert len(gzip.decompress(data)) == r.n_bytes
+
+
 def test_warc_query_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<p>é</p>", 1), (2, None, None, 2), (None, "http://b", "", 3), (1, "http://a", "<p>é</p>", 4), (3, "http://c", "x" * 3_000_000, 5)], "page_id long, url string, html string, offset int")
     folder = f"file://{tmp_path}"
@@ -138,9 +175,20 @@ def test_warc_query_round_trip(spark, tmp_path):
     assert warc.normalise_files(spark.createDataFrame([(None,)], "path string"), folder + "/o2").count() == 0
 
 
-def test_warc_query_has_all_pages(spark):
-    got = sorted(r.page_id for r in warc.op3_warc_members(spark, SF).collect())
-    assert got == sorted(r.page_id for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id").collect())
+def test_warc_query_has_all_pages(spark, monkeypatch):
+    folders = []
+    monkeypatch.setattr(warc, "fresh_dir", lambda s, n: folders.append(common.fresh_dir(s, n)) or folders[-1])
+    got = warc.op3_warc_members(spark, SF).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()}
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    root = folders[0].removeprefix("file://") + "/members/"
+    for r in got:
+        with open(root + r.file, "rb") as f:
+            f.seek(r.offset)
+            whole = gzip.decompress(f.read(r.length))
+        page = pages[r.page_id]
+        assert whole == warc.record(r.page_id, 0, page.url, page.html) and r.target_uri == page.url
+        assert hashlib.sha1(whole.split(b"\r\n\r\n", 1)[1][:-4]).hexdigest() == r.digest
 
 
 # -------------------------------------------------------------------- 10: TIFF
