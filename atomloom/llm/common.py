@@ -74,9 +74,9 @@ def discard(*tables: DataFrame) -> None:
             remove(t.sparkSession, folder)
 
 
-def sized(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit the limit, else as it is (Spark shuffles it)."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else as it is (Spark shuffles it)."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

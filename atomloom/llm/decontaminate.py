@@ -229,14 +229,11 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_WORDS = r"[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\x{80}-\x{10FFFF}]+') IF x <> '']"
-
-
 def _shingled(table: str, key: str) -> str:
     return f"""
   SELECT r, {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [list_aggregate(w, 'string_agg', ' ')]
     ELSE [list_aggregate(w[i:i + {SHINGLE} - 1], 'string_agg', ' ') FOR i IN range(1, len(w) - {SHINGLE} + 2)] END) AS s
-  FROM (SELECT row_number() OVER () AS r, {key}, {_WORDS} AS w FROM {table})"""
+  FROM (SELECT row_number() OVER () AS r, {key}, {tk.WORDS_SQL} AS w FROM {table})"""
 
 
 OP7_SQL = f"""

@@ -25,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op6_source_mix": source_mix.OP6_SQL,
     "op7_benchmark_leaks": decontaminate.OP7_SQL,
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
 }

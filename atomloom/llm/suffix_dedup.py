@@ -3,9 +3,9 @@
 A *window* is WINDOW consecutive words of a document.  A window is a repeat if
 an equal one occurs earlier, in the order of (doc_id, word position); the
 result is, for each document, its maximal runs of repeated windows as spans of
-words, with a document that has the passage earlier.  So every
-passage of at least WINDOW words that occurs twice is found, and its first
-occurrence is left alone.
+words, with the document in which the span's first window occurs first of all.
+So every passage of at least WINDOW words that occurs twice is found, and its
+first occurrence is left alone.  ``drop_repeats`` cuts the spans out.
 
 1. Anchors.  Of each span of SPREAD + 1 consecutive ANCHOR-word shingles the
    one of least hash is an anchor (winnowing); each window has its own anchor
@@ -24,21 +24,26 @@ occurrence is left alone.
    fingerprint, to the merge task of their anchor, where shards' sorted runs
    are merged pair by pair by binary search; a class's least (doc_id, position)
    stays, the others are repeats.  As neighbouring windows share anchors, they
-   arrive together and leave as runs.
+   arrive together and leave as runs.  A shard's own spans go along, one row
+   each, to learn where their first window occurs first; so the result doesn't
+   depend on which documents share a shard.
 
-What is shuffled: all anchors (24 bytes per 14 words or so), and 8 bytes a
-window plus 30 bytes an anchor of text that is repeated across shards.  The
-anchor positions are joined to the documents by doc_id: broadcast if their
-counted size allows, else shuffled.
+What is shuffled: the anchors' hashes to be counted (with map-side sums, so an
+anchor of a million pages isn't one task's work), and 32 bytes a window of text
+that is repeated.  The repeated hashes and the anchors' positions are broadcast
+if their counted size allows, else joined by shuffles, in which case the texts
+move too.
 
 Words compare by 64-bit hashes, windows by 64-bit hashes of these.
 
 Defined cases: a text of fewer than WINDOW words (null and empty ones too) has
-no window; rows of null doc_id are left out, as they can't be named; rows that
-share a doc_id are compared like documents of their own, in the order of their
-text hash, identical ones too (all but one are repeats); a passage repeated
-within one document counts; passages never span two documents; an empty table
-gives an empty result; other columns aren't read.
+no window; rows of null doc_id are left out, as they can't be named
+(``drop_repeats`` keeps them as they are); rows that share a doc_id are compared
+like documents of their own, in the order of their text hash, identical ones too
+(all but one are repeats); a passage repeated within one document counts;
+passages never span two documents; bytes that aren't UTF-8 read as U+FFFD; an
+empty table gives an empty result; other columns aren't read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -48,11 +53,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
-from .common import BROADCAST_BYTES, cut, read, require
+from .common import cut, discard, read, require, shielded, sized, unshielded
 
 WINDOW = 50
 ANCHOR = 24
@@ -178,8 +184,8 @@ class Stretches:
         self.size += len(words)
 
 
-def solve_shard(st: Stretches) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
-    """Spans that repeat within the shard, and the first windows of its classes."""
+def solve_shard(st: Stretches) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Spans that repeat within the shard (by their first windows, with the end), and the first windows of its classes."""
     m = len(st.words)
     size = np.array([len(w) for w in st.words], np.int64)
     begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
@@ -206,44 +212,28 @@ def solve_shard(st: Stretches) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
     order = np.lexsort((inside[sfx] + start[o], copy[o], doc[o], cls))
     cls, sfx, o = cls[order], sfx[order], o[order]
     first = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, bool)
-    lead = sfx[first][np.cumsum(first) - 1] if len(cls) else sfx
-    repeated, mine = np.zeros(len(text), bool), np.zeros(len(text), np.int64)  # mine: document with the earlier window
+    repeated = np.zeros(len(text), bool)
     repeated[sfx[~first]] = True
-    mine[sfx[~first]] = doc[owner[lead[~first]]]
-    spans = _runs(repeated, mine, owner, inside, start, doc, copy)
-    # First windows, by anchor.
-    flagged = np.zeros(len(text), bool)
-    flagged[sfx[first]] = True
-    fields: dict[str, list] = {k: [] for k in ("anchor", "doc", "copy", "pos", "fp")}
-    for s in range(m):
-        b, n = int(begin[s]), int(size[s]) - WINDOW + 1
-        if n <= 0:
-            continue
-        keep = np.flatnonzero(flagged[b : b + n])
-        if not len(keep):
-            continue
-        w = st.words[s]
-        fields["anchor"].append(window_hashes(w, ANCHOR)[anchor_of(w)[keep]])
-        fields["fp"].append(window_hashes(w, WINDOW)[keep])
-        fields["pos"].append(keep + start[s])
-        fields["doc"].append(np.full(len(keep), doc[s]))
-        fields["copy"].append(np.full(len(keep), copy[s]))
-    out = {k: np.concatenate(v) if v else np.zeros(0, tk.U64 if k in ("anchor", "fp") else np.int64) for k, v in fields.items()}
-    return spans, out
-
-
-def _runs(repeated: np.ndarray, mine: np.ndarray, owner: np.ndarray, inside: np.ndarray, start: np.ndarray, doc: np.ndarray, copy: np.ndarray) -> pd.DataFrame:
-    """Runs of neighbouring repeated windows; mine is the earlier document of a repeated window."""
+    # Anchor and fingerprint of windows; those that reach into the next stretch are never looked at.
+    h, anchors, fps = window_hashes(words, ANCHOR), anchor_of(words), window_hashes(words, WINDOW)
+
+    def windows(at: np.ndarray) -> dict[str, np.ndarray]:
+        o = owner[at]
+        return {"anchor": h[anchors[at]], "fp": fps[at], "doc": doc[o], "copy": copy[o], "pos": inside[at] + start[o]}
+
+    head, tail = _runs(repeated, owner)
+    spans = windows(head)
+    spans["end"] = inside[tail] + start[owner[tail]] + WINDOW
+    return spans, windows(sfx[first])
+
+
+def _runs(repeated: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of neighbouring repeated windows."""
     at = np.flatnonzero(repeated)
     if not len(at):
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "copy", "start_word", "end_word", "first_doc_id")})
+        return at, at
     new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
-    head = at[new]
-    tail = at[np.concatenate([new[1:], [True]])]
-    o = owner[head]
-    return pd.DataFrame(
-        {"doc_id": doc[o], "copy": copy[o], "start_word": inside[head] + start[o], "end_word": inside[tail] + start[o] + WINDOW, "first_doc_id": mine[head]}
-    )
+    return at[new], at[np.concatenate([new[1:], [True]])]
 
 
 # ---------------------------------------------------------------- merging
@@ -275,12 +265,18 @@ def merge_runs(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return runs[0]
 
 
+_SPAN = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
+
+
 def _merge_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All shards' runs of one range of anchors; spans of windows that another shard has earlier."""
-    runs = []
+    """All shards' runs of one range of anchors: spans of windows that another shard has earlier, and the shards' own spans."""
+    runs, asked = [], []
     for row in pdf.itertuples():
-        a = np.frombuffer(row.run, np.int64).reshape(4, -1)
-        runs.append((a[0].view(tk.U64), a[1], a[2], a[3]))
+        if row.run is not None:
+            a = np.frombuffer(row.run, np.int64).reshape(4, -1)
+            runs.append((a[0].view(tk.U64), a[1], a[2], a[3]))
+        if row.asks is not None:
+            asked.append(np.frombuffer(row.asks, np.int64).reshape(5, -1))
     total = merge_runs(runs)
     parts = []
     for fp, doc, copy, pos in runs:
@@ -288,14 +284,18 @@ def _merge_task(pdf: pd.DataFrame) -> pd.DataFrame:
         late = (total[1][at] != doc) | (total[2][at] != copy) | (total[3][at] != pos)
         if late.any():
             parts.append(np.stack([doc[late], copy[late], pos[late], total[1][at][late]]))
-    if not parts:
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "copy", "start_word", "end_word", "first_doc_id")})
-    doc, copy, pos, early = np.concatenate(parts, axis=1)
-    order = np.lexsort((pos, copy, doc))
-    doc, copy, pos, early = doc[order], copy[order], pos[order], early[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (pos[1:] != pos[:-1] + 1)])
-    last = np.concatenate([new[1:], [True]])
-    return pd.DataFrame({"doc_id": doc[new], "copy": copy[new], "start_word": pos[new], "end_word": pos[last] + WINDOW, "first_doc_id": early[new]})
+    spans = np.zeros((5, 0), np.int64)
+    if parts:
+        doc, copy, pos, early = np.concatenate(parts, axis=1)
+        order = np.lexsort((pos, copy, doc))
+        doc, copy, pos, early = doc[order], copy[order], pos[order], early[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (pos[1:] != pos[:-1] + 1)])
+        last = np.concatenate([new[1:], [True]])
+        spans = np.stack([doc[new], copy[new], pos[new], pos[last] + WINDOW, early[new]])
+    for fp, doc, copy, pos, end in asked:
+        early = total[1][np.searchsorted(total[0], fp.view(tk.U64))]
+        spans = np.concatenate([spans, np.stack([doc, copy, pos, end, early])], axis=1)
+    return pd.DataFrame(dict(zip(_SPAN, spans)))
 
 
 # ---------------------------------------------------------------- dataflow
@@ -346,15 +346,16 @@ def _solve(tasks: int, shard_words: int):
         st = Stretches()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            spans, w = solve_shard(st)
-            yield _batch(None, None, spans)
-            task = (w["anchor"] % tk.U64(tasks)).astype(np.int64)
-            order = np.lexsort((w["fp"], task))
-            cuts = np.searchsorted(task[order], np.arange(tasks + 1))
-            data = np.stack([w["fp"].view(np.int64), w["doc"], w["copy"], w["pos"]])[:, order]
-            for t in range(tasks):
-                if cuts[t] < cuts[t + 1]:
-                    yield _batch(t, np.ascontiguousarray(data[:, cuts[t] : cuts[t + 1]]).tobytes(), None)
+            out: dict[int, list] = {}
+            for k, (w, names) in enumerate(zip(solve_shard(st), (("fp", "doc", "copy", "pos", "end"), ("fp", "doc", "copy", "pos")))):
+                task = (w["anchor"] % tk.U64(tasks)).astype(np.int64)
+                order = np.lexsort((w["fp"], task))
+                data = np.stack([w[n].view(np.int64) for n in names])[:, order]
+                there, first = np.unique(task[order], return_index=True)
+                for t, a, e in zip(there.tolist(), first, np.append(first, len(order))[1:]):
+                    out.setdefault(t, [None, None])[k] = np.ascontiguousarray(data[:, a:e]).tobytes()
+            both = list(out.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *[pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]], ["task", "asks", "run"])
 
         for b in batches:
             ids, col, places = b.column(0).to_pylist(), b.column(1), b.column(2)
@@ -374,45 +375,81 @@ def _solve(tasks: int, shard_words: int):
     return run
 
 
-_MIXED = "task long, run binary, " + SPAN_SCHEMA
-_MIXED_ARROW = pa.schema([("task", pa.int64()), ("run", pa.binary())] + [(c.split()[0], pa.int64()) for c in SPAN_SCHEMA.split(", ")])
+def _numbered(narrow: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, ...) with a number that tells those of one doc_id apart; only the rows that share one are moved."""
+    again = cut(narrow.groupBy(F.col("doc_id").alias("r_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r_id"), "again")
+    n = again.count()
+    if not n:
+        return narrow.withColumn("copy", F.lit(0).cast("bigint"))
+    again = sized(again, n, 16)
+    same = F.col("doc_id") == F.col("r_id")
+    one = narrow.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("bigint"))
+    many = narrow.join(again, same, "left_semi")
+    return one.unionByName(many.withColumn("copy", F.expr("row_number() over (partition by doc_id order by xxhash64(text))").cast("bigint")))
 
 
-def _batch(task: int | None, run: bytes | None, spans: pd.DataFrame | None) -> pa.RecordBatch:
-    if spans is None:
-        return pa.RecordBatch.from_arrays([pa.array([task]), pa.array([run], pa.binary())] + [pa.nulls(1, pa.int64())] * 5, schema=_MIXED_ARROW)
-    n = len(spans)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())] + [pa.array(spans[c].to_numpy(np.int64)) for c in spans], schema=_MIXED_ARROW)
+def _spans(docs: DataFrame, shard_words: int) -> DataFrame:
+    """(doc_id, copy, start_word, end_word, first_doc_id) of all repeated spans."""
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    anchors = cut(_anchors(narrow), "anchors")
+    repeated = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes")
+    # Positions of the anchors that occur twice, by document.
+    places = anchors.join(sized(repeated, repeated.count(), 32), "h", "left_semi")
+    twice = cut(places.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "places")
+    discard(anchors, repeated)
+    n_docs, n_places = twice.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    joined = _numbered(narrow.join(sized(twice, 1, 40 * n_docs + 4 * n_places), "doc_id"))
+    tasks = max(1, n_places * (SPREAD // 2) >> 20)
+    mixed = cut(joined.select("doc_id", "text", "places", "copy").mapInArrow(_solve(tasks, shard_words), "task long, asks binary, run binary"), "runs")
+    return _join_spans(mixed.groupBy("task").applyInPandas(_merge_task, SPAN_SCHEMA))
 
 
 def repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id): the repeated spans of all documents."""
     require(docs, "doc_id", "text")
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    # Anchors that occur twice, by document.
-    twice = cut(_anchors(narrow).withColumn("n", F.expr("count(*) over (partition by h)")).where("n > 1").groupBy("doc_id").agg(F.array_distinct(F.collect_list("at")).alias("places")))
-    size = twice.agg(F.count(F.lit(1)), F.sum(F.size("places"))).first()
-    n_bytes = 40 * (size[0] or 0) + 4 * (size[1] or 0)
-    ids = narrow.groupBy(F.col("doc_id").alias("r_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r_id")
-    twice = F.broadcast(twice) if n_bytes <= BROADCAST_BYTES else twice
-    joined = narrow.join(twice, "doc_id")
-    # Rows that share a doc_id are told apart by a number.
-    again = cut(ids)
-    n_again = again.count()
-    if n_again:
-        again = F.broadcast(again) if n_again * 16 <= BROADCAST_BYTES else again
-        one = joined.join(again, F.col("doc_id") == F.col("r_id"), "left_anti").withColumn("copy", F.lit(0).cast("bigint"))
-        many = joined.join(again, F.col("doc_id") == F.col("r_id"), "left_semi")
-        many = many.withColumn("copy", F.expr("row_number() over (partition by doc_id order by xxhash64(text))").cast("bigint"))
-        joined = one.unionByName(many)
-    else:
-        joined = joined.withColumn("copy", F.lit(0).cast("bigint"))
-    words = (size[1] or 0) * (SPREAD // 2)
-    tasks = int(max(1, min(4096, words >> 20)))
-    mixed = cut(joined.select("doc_id", "text", "places", "copy").mapInArrow(_solve(tasks, shard_words), _MIXED))
-    merged = mixed.where("task is not null").select("task", "run").groupBy("task").applyInPandas(_merge_task, SPAN_SCHEMA)
-    spans = mixed.where("task is null").drop("task", "run").unionByName(merged)
-    return _join_spans(spans)
+    out = _spans(docs, shard_words)
+    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans; the lower-cased text, by which words are numbered, has as many characters."""
+    data, offsets = tk.flat_text(pc.utf8_lower(pa.array([text], pa.large_string())))
+    starts, ends, _ = tk.word_spans(data, offsets)
+    char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    out, at = [], 0
+    for a, e in sorted(spans):
+        out.append(text[at : char[starts[a]]])
+        at = char[ends[e - 1]]
+    return "".join(out) + text[at:]
+
+
+def drop_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The documents, with all their columns, without the words of their repeated spans."""
+    require(docs, "doc_id", "text")
+    plain, back = shielded(docs, "doc_id", "text")
+    spans = _spans(docs, shard_words).groupBy(F.col("doc_id").alias("s_id"), F.col("copy").alias("s_copy")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    spans = cut(spans, "spans")
+    n, m = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    named = _numbered(plain.withColumn("doc_id", F.col("doc_id").cast("bigint")).where("doc_id is not null"))
+    joined = named.join(sized(spans, 1, 32 * n + 24 * m), (F.col("doc_id") == F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left")
+    at = next(a for a, c in back if c == "text")
+    names = [a for a, _ in back]
+    cut_texts = joined.select(*names, "spans")
+    schema = cut_texts.drop("spans").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = names.index(at)
+        for b in batches:
+            hit = np.flatnonzero(b.column(len(names)).is_valid().to_numpy(zero_copy_only=False))
+            columns = list(b.columns[:-1])
+            if len(hit):
+                texts = tk.sound(columns[k]).to_pylist()
+                for i in hit.tolist():
+                    texts[i] = without_words(texts[i], [(x["start_word"], x["end_word"]) for x in b.column(len(names))[i].as_py()])
+                columns[k] = pa.array(texts, columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return unshielded(cut_texts.mapInArrow(run, schema).unionByName(plain.where("doc_id is null").select(*names)), back)
 
 
 def _join_spans(spans: DataFrame) -> DataFrame:
@@ -422,11 +459,21 @@ def _join_spans(spans: DataFrame) -> DataFrame:
     reach = F.expr(f"max(end_word) over ({by} rows between unbounded preceding and 1 preceding)")
     new = spans.withColumn("new", F.when(reach.isNull() | (F.col("start_word") > reach - WINDOW + 1), 1).otherwise(0))
     run = new.withColumn("g", F.expr(f"sum(new) over ({by} rows between unbounded preceding and current row)"))
-    out = run.groupBy("doc_id", "copy", "g").agg(
-        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc_id").alias("first_doc_id")
-    )
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
+    return run.groupBy("doc_id", "copy", "g").agg(
+        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min_by("first_doc_id", "start_word").alias("first_doc_id")
+    ).drop("g")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(read(spark, sf_dir, "documents"))
+
+
+#: Of tables whose doc_ids are told apart.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {tk.WORDS_SQL} AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) - {WINDOW - 1})) AS p FROM d WHERE len(w) >= {WINDOW}),
+s AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + {WINDOW}], ' ')) AS s FROM p),
+f AS (SELECT doc_id, p, first_value(doc_id) OVER v AS fd, row_number() OVER v AS n FROM s WINDOW v AS (PARTITION BY s ORDER BY doc_id, p)),
+r AS (SELECT doc_id, p, fd, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM f WHERE n > 1)
+SELECT doc_id, min(p) AS start_word, max(p) + {WINDOW} AS end_word, max(p) + {WINDOW} - min(p) AS n_words, arg_min(fd, p) AS first_doc_id FROM r GROUP BY doc_id, run
+"""

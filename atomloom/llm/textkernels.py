@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: The words of a text in SQL.
+WORDS_SQL = r"[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\x{80}-\x{10FFFF}]+') IF x <> '']"
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 #: Bytes of text that one kernel call handles (a longer document is handled alone).

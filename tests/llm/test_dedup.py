@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from atomloom.llm import near_dup, suffix_dedup
+from atomloom.llm import common, near_dup, source_mix, suffix_dedup, url_filter
 from atomloom.llm import textkernels as tk
 from conftest import CLASHES, words
+from helpers import in_duckdb, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -281,14 +282,46 @@ def test_repeats_edges(documents, shard_words):
     assert {d for d, _, _ in got} == {2, 6, 8, *range(20, 32)}
 
 
-def test_repeats_of_a_document_of_id_minus_one():
+def test_repeats_of_a_document_of_id_minus_one(documents):
     rng = np.random.default_rng(10)
-    shared = tk.word_hashes(pa.array([words(rng, 60)]))[0]
-    st = suffix_dedup.Stretches()
-    for doc in (-2, -1, 0, 5):
-        st.add(doc, 0, 0, shared if doc != -2 else shared[:30])
-    spans = suffix_dedup.solve_shard(st)[0]
-    assert sorted(map(tuple, spans[["doc_id", "start_word", "end_word", "first_doc_id"]].values.tolist())) == [(0, 0, 60, -1), (5, 0, 60, -1)]
+    shared = words(rng, 60)
+    docs = documents([(-2, " ".join(shared.split()[:30]), "en", "a"), (-1, shared, "en", "a"), (0, shared, "en", "a"), (5, shared, "en", "a")])
+    for n in (1, 4):
+        got = suffix_dedup.repeats(docs.repartition(n)).collect()
+        assert sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in got) == [(0, 0, 60, -1), (5, 0, 60, -1)]
+
+
+def test_repeats_do_not_depend_on_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(in_duckdb(suffix_dedup.OP8_SQL, "/root/testdata/sf0.01").astype(int)[["doc_id", "start_word", "end_word", "n_words", "first_doc_id"]].values.tolist())
+    for n, size in ((1, 1 << 20), (12, 3000)):
+        assert sorted(map(list, suffix_dedup.repeats(docs.repartition(n), size).collect())) == want
+
+
+def test_dropping_repeats(documents):
+    rng = np.random.default_rng(14)
+    passage = words(rng, 60, "É")
+    rows = [(1, f"Start, {passage}. End", "en", "a"), (2, f"«Un» {passage}! fin\n", "fr", "a"), (3, passage, "fr", "a"), (3, "Other", "fr", "a"), (None, passage, "en", "a"), (4, None, "en", "a"), (5, "", None, None)]
+    docs = documents(rows)
+    left = suffix_dedup.drop_repeats(docs)
+    assert left.columns == docs.columns
+    got = sorted((repr(r.doc_id), r.text or "") for r in left.collect())
+    assert got == sorted([("1", rows[0][1]), ("2", "«Un» ! fin\n"), ("3", ""), ("3", "Other"), ("None", passage), ("4", ""), ("5", "")])
+    again = suffix_dedup.repeats(left)
+    assert again.count() == 0
+    assert suffix_dedup.drop_repeats(docs.where("false")).count() == 0
+
+
+def test_shuffles_instead_of_broadcasts(spark, monkeypatch, documents):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    small = (sorted(map(tuple, suffix_dedup.repeats(docs).collect())), sorted(map(tuple, near_dup.drop_near_duplicates(docs).select("doc_id").collect())))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    out = suffix_dedup.repeats(docs)
+    assert sorted(map(tuple, out.collect())) == small[0]
+    assert sorted(map(tuple, near_dup.drop_near_duplicates(docs).select("doc_id").collect())) == small[1]
+    mixed = source_mix.select_documents(docs)
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(in_duckdb(f"SELECT doc_id FROM ({source_mix.OP6_SQL})").doc_id)
+    assert rows_of(url_filter.op1_url_filter(spark, SF).toPandas()) == rows_of(in_duckdb(url_filter.OP1_SQL))
 
 
 def test_repeated_rows_and_empty_tables(documents):

@@ -117,29 +117,61 @@ def test_counts_match_another_unigram_program(spark):
         assert got[i].n_pretokens == len(t.split())
 
 
+def best_segmentation(w, scores, unknown):
+    """(score, tokens) by trying all; of equal scores the longer last piece, then the same for what is before it."""
+    if not w:
+        return 0.0, 0
+    top = (-np.inf, 0)
+    for k in range(len(w)):
+        if w[k:] in scores:
+            s, n = best_segmentation(w[:k], scores, unknown)
+            if scores[w[k:]] + s > top[0]:
+                top = scores[w[k:]] + s, n + 1
+    if w[-1] not in scores:
+        s, n = best_segmentation(w[:-1], scores, unknown)
+        if s + unknown > top[0]:
+            top = s + unknown, n + len(w[-1].encode())
+    return top
+
+
 def test_counts_by_brute_force():
     scores = {"a": -1.0, "b": -1.5, "ab": -1.7, "ba": -3.0, "aba": -2.9, "▁": -0.5, "▁a": -0.9}
-    trie = token_count.Trie(scores)
+    trie = token_count.Trie(token_count.Vocabulary(scores))
     rng = np.random.default_rng(1)
-    some = {"▁" + "".join(rng.choice(list("abé"), rng.integers(1, 8))) for _ in range(200)}
-
-    def best(w):
-        if not w:
-            return 0.0, 0
-        out = []
-        for k in range(1, len(w) + 1):
-            if w[:k] in scores:
-                s, n = best(w[k:])
-                out.append((s + scores[w[:k]], n + 1))
-        if w[0] not in scores:
-            s, n = best(w[1:])
-            out.append((s + trie.unknown, n + len(w[0].encode())))
-        top = max(s for s, _ in out)
-        return top, {n for s, n in out if abs(s - top) < 1e-12}.pop()
-
-    got = trie.counts(some)
-    assert all(got[w] == best(w)[1] for w in some)
-    assert trie.nodes < sum(map(len, some))
+    some = sorted({"▁" + "".join(rng.choice(list("abé🙂"), rng.integers(1, 8))) for _ in range(200)})
+    for part in (some[::3], some[1::3], some[2::3], some):  # later chunks find the nodes of earlier ones
+        got = trie.counts(pa.array(part)).tolist()
+        assert got == [best_segmentation(w, scores, trie.vocabulary.unknown)[1] for w in part]
+    assert trie.nodes - 1 == len({w[:k] for w in some for k in range(1, len(w) + 1)})
+
+
+def test_ties_take_the_longer_last_piece():
+    scores = {"a": -1.0, "aa": -2.0, "aaa": -3.0}
+    trie = token_count.Trie(token_count.Vocabulary(scores))
+    assert trie.counts(pa.array(["a", "aa", "aaa", "aaaa", "aaaaa"])).tolist() == [1, 1, 1, 2, 2]
+
+
+def test_prefixes_are_shared_between_chunks(monkeypatch):
+    trie = token_count.Trie(token_count.Vocabulary(token_count.pieces(token_count.VOCABULARY)))
+    a = trie.counts(pa.array(["▁international"]))
+    before = trie.nodes
+    b = trie.counts(pa.array(["▁internationally", "▁inter"]))
+    assert trie.nodes - before == 2
+    assert trie.counts(pa.array(["▁inter", "▁international"])).tolist() == [b[1], a[0]] and trie.nodes - before == 2
+    long = pa.array(["▁" + "internationally" * 20, "▁ab"])
+    want = trie.counts(long).tolist()
+    monkeypatch.setattr(token_count, "TRIE_DEPTH", 1000)
+    assert trie.counts(long).tolist() == want
+
+
+def test_edges_grow():
+    rng = np.random.default_rng(13)
+    node, char = np.divmod(np.unique(rng.integers(0, 1 << 40, 50_000)), 1 << 20)
+    key = token_count.Edges.keys(node, char)
+    e = token_count.Edges(16)
+    for a in range(0, len(key), 999):
+        e.add(key[a : a + 999], np.arange(a, min(a + 999, len(key)), dtype=np.int32))
+    assert (e.find(key) == np.arange(len(key))).all() and (e.find(key + np.uint64(1 << 20)) == -1).mean() > 0.9
 
 
 def test_count_edges(documents):
