@@ -18,7 +18,7 @@ def num(x: Number) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-# ------------------------------------------------------------------ cutoffs
+# Cutoffs
 
 
 def cos_cutoff(r: Column, cutoff: float, width: float) -> Column:
@@ -45,7 +45,7 @@ def poly_cutoff_slope(r: Column, cutoff: float, r_min: float) -> Column:
     return F.when((r > r_min) & (r < cutoff), -30.0 * x * x * (x - 1.0) * (x - 1.0) / (cutoff - r_min)).otherwise(F.lit(0.0))
 
 
-# ----------------------------------------------------- density pair functions
+# Density pair functions
 
 
 def poly_density(r: Column, cutoff: float, r_min: float = 0.0, prefactor: float = 1.0, unit_core: bool = False) -> Column:
@@ -76,7 +76,7 @@ def power_density_slope(r: Column, cutoff: float, degree: float = 3.0, prefactor
     return F.when(r >= cutoff, F.lit(0.0)).otherwise(-prefactor * degree / cutoff * F.pow(1.0 - r / cutoff, F.lit(float(degree) - 1.0)))
 
 
-# ------------------------------------------------------------------ kernels
+# Kernels
 
 
 def se_kernel(a: Sequence[Column], b: Sequence[Number], length: float, energy: float) -> Column:
@@ -97,7 +97,7 @@ def se_kernel_arrays(a: Column, b: Column, length: float, energy: float) -> Colu
     return energy * energy * F.exp(-square / (2.0 * length * length))
 
 
-# --------------------------------------------------------------- invariants
+# Invariants
 
 
 def triplet_invariants(r01: Column, r02: Column, r12: Column) -> tuple[Column, Column, Column]:
@@ -116,7 +116,7 @@ def invariant_cutoff(q1: Column, q2: Column, cutoff_value) -> Column:
     return cutoff_value((q1 + d) / 2.0) * cutoff_value((q1 - d) / 2.0)
 
 
-# ------------------------------------------------------------------ vectors
+# Vectors
 
 Vector = tuple[Column, Column, Column]
 
@@ -162,7 +162,7 @@ def least_magnitude(a: Vector) -> Column:
     return F.least(*[F.abs(x) for x in a])
 
 
-# --------------------------------------------------------- screened repulsion
+# Screened repulsion
 
 _E_CHARGE = 1.60217657e-19
 _EPSILON0 = 8.854187817e-12

@@ -171,7 +171,7 @@ def _step(factors: DataFrame, n: int, keys: int) -> DataFrame:
     return factors.groupBy("key").applyInPandas(run, "key int, row binary")
 
 
-# ------------------------------------------------- the kernel's parts, in numpy
+# The kernel's parts, in numpy
 
 
 def kernel(x: np.ndarray, points: np.ndarray, weights: np.ndarray, length: float, energy: float) -> tuple[np.ndarray, list[np.ndarray]]:

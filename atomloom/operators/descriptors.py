@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from atomloom.functions import expr
 from atomloom.plans.registry import Kernel, Radial, build, register
+from atomloom.plans.session import BROADCAST_BYTES
 
 from . import blocks, sparse
 from .structures import VIRIAL
@@ -31,7 +32,7 @@ SPARSE_SCHEMA = "k1 string, k2 string, k3 string, p array<double>, col_id int, c
 TERMS = ("energy", "fx", "fy", "fz", *VIRIAL)
 
 
-# -------------------------------------------------------------- index tables
+# Index tables
 
 
 def pair_index(neighbours: DataFrame, cutoff: Radial) -> DataFrame:
@@ -103,23 +104,28 @@ def densities(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     return base.join(rho, ["structure_id", "i"], "left").withColumn("rho", F.coalesce("rho", F.lit(0.0)))
 
 
-# ---------------------------------------------------------------- the kernel
+# The kernel
 
 
 def _fold(sparse_points: DataFrame, keys: list[str]) -> DataFrame:
     return sparse_points.groupBy(*keys).agg(F.collect_list(F.struct("p", "weight")).alias("points"))
 
 
+def _hinted(table: DataFrame, points: DataFrame) -> DataFrame:
+    """Broadcast what is made of sparse points if the driver, which has them, counted few enough."""
+    return F.broadcast(table) if points.__dict__.get("_small", False) else table
+
+
 def kernel_sums(rows: DataFrame, points: DataFrame, keys: list[str], at: list[str], kernel: Kernel, spread: bool) -> DataFrame:
     """Add s0 (sum of weight * kernel) and s1.. (its derivatives by ``at``); ``points`` has keys, p, weight, col_id."""
     x = [F.col(c) for c in at]
     if spread:
         wide = points.select(*keys, "col_id", "weight", *[F.col("p")[k].alias(f"p{k}") for k in range(len(at))])
-        joined = rows.join(F.broadcast(wide), keys)
+        joined = rows.join(_hinted(wide, points), keys)
         p = [F.col(f"p{k}") for k in range(len(at))]
         sums = [F.col("weight") * kernel.value(x, p), *[F.col("weight") * s for s in kernel.slopes(x, p)]]
         return joined.withColumns({f"s{k}": s for k, s in enumerate(sums)}).drop("weight", *[f"p{k}" for k in range(len(at))])
-    joined = rows.join(F.broadcast(_fold(points, keys)), keys)
+    joined = rows.join(_hinted(_fold(points, keys), points), keys)
     zero = F.struct(*[F.lit(0.0).alias(f"s{k}") for k in range(len(at) + 1)])
     scale = 1.0 / (kernel.length * kernel.length)
 
@@ -190,7 +196,9 @@ class Descriptor:
                 raise ValueError("the descriptor has no coefficients")
             rows.append((*cat, [float(x) for x in p], float(f if spread else f * c), first + n))
         names = ", ".join(f"{k} string" for k in self.keys)
-        return spark.createDataFrame(rows, f"{names}, p array<double>, weight double, col_id int")
+        out = spark.createDataFrame(rows, f"{names}, p array<double>, weight double, col_id int")
+        out.__dict__["_small"] = sum(64 + 8 * len(row[len(self.keys)]) for row in rows) <= BROADCAST_BYTES
+        return out
 
     def set_coefficients(self, values: list[float]) -> None:
         if len(values) != self.n_sparse():
@@ -202,11 +210,8 @@ class Descriptor:
 
     def choose(self, atoms: DataFrame, neighbours: DataFrame) -> None:
         """Pick the sparse points from data."""
-        s = self.spec["sparsify"]
-        if s.get("type", "sample_space_uniform") != "sample_space_uniform":
-            raise ValueError(f"unknown sparsifier {s.get('type')!r}")
         rows, order = self.samples(atoms, neighbours)
-        self.points = sparse.select(rows, list(self.at), order, int(s["n_sparse"]), list(self.keys), s.get("grid_dimensions"), int(s.get("seed", 799)))
+        self.points = build("sparsifier", self.spec["sparsify"], default="sample_space_uniform")(rows, list(self.at), order, list(self.keys))
 
     def self_covariance(self) -> list[tuple[list[int], np.ndarray]]:
         """Blocks (columns, matrix) of the sparse points' covariance; categories don't mix."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.plans.registry import build, register
+from atomloom.plans.session import cut
 
 from . import sigmas as _sigmas  # noqa: F401  (registers the rules)
 from .blocks import reduced, triangular_factor
@@ -186,12 +187,5 @@ def subtract(structures: DataFrame, atoms: DataFrame, potential) -> tuple[DataFr
     return cut(s), cut(a)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    from atomloom.plans.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def read_fit(spec: dict):
     return build("fit", spec, default="composite")

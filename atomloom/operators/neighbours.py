@@ -30,8 +30,8 @@ def range_pairs(points: DataFrame, cutoff: float, group: str = "g", key: str = "
     return pairs.where((F.col("d") > 0) & (F.col("d") <= cutoff)).select(*keep)
 
 
-def image_offsets(structures: DataFrame, cutoff: float) -> DataFrame:
-    """(structure_id, ox, oy, oz): translations that may bring an image within the cutoff.
+def image_offsets(structures: DataFrame, cutoff: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(structure_id, carried columns, ox, oy, oz): translations that may bring an image within the cutoff.
 
     The number of cells on each side is that of the cutoff over the cell's
     height across the other two axes, which holds for skewed cells too.
@@ -43,11 +43,11 @@ def image_offsets(structures: DataFrame, cutoff: float) -> DataFrame:
         normal = expr.unit(expr.cross(axes[(k + 1) % 3], axes[(k + 2) % 3]))
         height = F.abs(expr.dot(axes[k], normal))
         ranges.append((F.floor(cutoff / height) + 2).cast("int"))
-    out = structures.select("structure_id", "lattice", *[r.alias(f"n{k}") for k, r in enumerate(ranges)])
+    out = structures.select("structure_id", *carry, "lattice", *[r.alias(f"n{k}") for k, r in enumerate(ranges)])
     for k in range(3):
         out = out.select("*", F.explode(F.sequence(-F.col(f"n{k}"), F.col(f"n{k}"))).alias(f"c{k}"))
     shift = [sum(F.col(f"c{r}") * lattice[r][k] for r in range(3)) for k in range(3)]
-    return out.select("structure_id", *[s.alias(n) for s, n in zip(shift, ("ox", "oy", "oz"))])
+    return out.select("structure_id", *carry, *[s.alias(n) for s, n in zip(shift, ("ox", "oy", "oz"))])
 
 
 def find_neighbours(structures: DataFrame, atoms: DataFrame, cutoff: float) -> DataFrame:
@@ -55,8 +55,8 @@ def find_neighbours(structures: DataFrame, atoms: DataFrame, cutoff: float) -> D
 
     Space is cut into cells as wide as the cutoff, and an atom meets the images
     in its cell and the 26 around it, so the work of a large structure grows with
-    its atoms and spreads over tasks by cell.  A structure of at most CELL_ATOMS
-    atoms is one cell: there the look at the cells would cost more than it saves.
+    its atoms and spreads over tasks by cell.  In structures of at most CELL_ATOMS
+    atoms each meets all images: there the cells would cost more than they save.
     """
     box = atoms.groupBy("structure_id").agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))], (F.count(F.lit(1)) > CELL_ATOMS).alias("large"))
     # The box of all of a structure's atoms rules out most image offsets before any image is made.
@@ -64,25 +64,28 @@ def find_neighbours(structures: DataFrame, atoms: DataFrame, cutoff: float) -> D
     for c in "xyz":
         span = F.col(f"hi_{c}") - F.col(f"lo_{c}") + cutoff
         reach &= F.abs(F.col(f"o{c}")) <= span + 1e-9
-    offsets = image_offsets(structures, cutoff).join(box, "structure_id").where(reach)
+    sized = structures.select("structure_id", "lattice").join(box, "structure_id")
+    known = tuple(c for c in box.columns if c != "structure_id")
     a = atoms.select("structure_id", F.col("atom_id").alias("i"), F.col("species").alias("species_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"))
     b = atoms.select("structure_id", F.col("atom_id").alias("j"), F.col("species").alias("species_j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"))
     # Images beyond the cutoff around the box meet no atom.
     inside = F.lit(True)
     for c in "xyz":
         inside &= (F.col(f"{c}j") >= F.col(f"lo_{c}") - cutoff - 1e-9) & (F.col(f"{c}j") <= F.col(f"hi_{c}") + cutoff + 1e-9)
-    cell = lambda c, by: F.when(F.col("large"), F.floor((F.col(c) - F.col(f"lo_{c[0]}")) / cutoff)).otherwise(F.lit(0).cast("bigint")) + by
-    images = b.join(offsets, "structure_id").withColumns({f"{c}j": F.col(f"{c}j") + F.col(f"o{c}") for c in "xyz"}).where(inside)
-    images = images.select("structure_id", "j", "species_j", "ox", "oy", "oz", "xj", "yj", "zj", *[cell(f"{c}j", 0).alias(f"cell_{c}") for c in "xyz"])
-    around = F.when(F.col("large"), F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(x, "xyz")]) for x in itertools.product((-1, 0, 1), repeat=3)])).otherwise(
-        F.array(F.struct(*[F.lit(0).alias(n) for n in "xyz"]))
-    )
-    centres = a.join(box.select("structure_id", "large", "lo_x", "lo_y", "lo_z"), "structure_id").withColumn("step", F.explode(around))
-    centres = centres.select("structure_id", "i", "species_i", "xi", "yi", "zi", *[cell(f"{c}i", F.col(f"step.{c}")).alias(f"cell_{c}") for c in "xyz"])
+    images = lambda own: b.join(image_offsets(sized.where(own), cutoff, known).where(reach), "structure_id").withColumns({f"{c}j": F.col(f"{c}j") + F.col(f"o{c}") for c in "xyz"})
     # A condition that needs no root.
     r = {f"r{c}": F.col(f"{c}j") - F.col(f"{c}i") for c in "xyz"}
     square = sum(x * x for x in r.values())
-    near = centres.join(images, ["structure_id", "cell_x", "cell_y", "cell_z"]).where((square > 0) & (square <= cutoff * cutoff))
+    close = (square > 0) & (square <= cutoff * cutoff)
+    meet = ("structure_id", "i", "species_i", "xi", "yi", "zi"), ("structure_id", "j", "species_j", "ox", "oy", "oz", "xj", "yj", "zj")
+    small = a.join(images(~F.col("large")).select(*meet[1]), "structure_id").where(close)
+    cell = lambda c: F.floor((F.col(c) - F.col(f"lo_{c[0]}")) / cutoff)
+    around = F.explode(F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(x, "xyz")]) for x in itertools.product((-1, 0, 1), repeat=3)]))
+    centres = a.join(box.where("large").select("structure_id", "lo_x", "lo_y", "lo_z"), "structure_id").withColumn("step", around)
+    centres = centres.select(*meet[0], *[(cell(f"{c}i") + F.col(f"step.{c}")).alias(f"cell_{c}") for c in "xyz"])
+    there = images(F.col("large")).where(inside).select(*meet[1], *[cell(f"{c}j").alias(f"cell_{c}") for c in "xyz"])
+    cells = [f"cell_{c}" for c in "xyz"]
+    near = small.unionByName(centres.join(there, ["structure_id", *cells]).where(close).drop(*cells))
     pairs = near.withColumns(r | {"d": F.sqrt(square)})
     return pairs.select("structure_id", "i", "j", "species_i", "species_j", "ox", "oy", "oz", "rx", "ry", "rz", "d")
 

@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 
 from atomloom.functions import elements, expr
 from atomloom.plans.registry import Radial, build, register
+from atomloom.plans.session import driver_table
 
 from .descriptors import TERMS, Descriptor, _term, _virial
 from .structures import VIRIAL, tensor
 
 
-
-
 @dataclass
 class IsolatedAtom:
     energies: dict[str, float]
@@ -31,15 +30,15 @@ class IsolatedAtom:
 
     def unknown(self, atoms: DataFrame) -> DataFrame:
         """Species without an energy."""
-        return atoms.join(F.broadcast(self._table(atoms.sparkSession)), "species", "left_anti").select("species").distinct()
+        return atoms.join(self._table(atoms.sparkSession), "species", "left_anti").select("species").distinct()
 
     def _table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.energies.items()), "species string, e0 double")
+        return driver_table(spark, sorted(self.energies.items()), "species string, e0 double")
 
     def terms(self, structures: DataFrame, atoms: DataFrame, neighbours: DataFrame) -> list[DataFrame]:
         if self.error_on_unknown and (bad := [r.species for r in self.unknown(atoms).limit(5).collect()]):
             raise ValueError(f"no isolated-atom energy for {bad}")
-        rows = atoms.join(F.broadcast(self._table(atoms.sparkSession)), "species", "left")
+        rows = atoms.join(self._table(atoms.sparkSession), "species", "left")
         null = F.lit(None).cast("double")
         t = _term(F.col("atom_id"), F.coalesce("e0", F.lit(0.0)), (null, null, null), [null] * 6)
         return [rows.select("structure_id", t.alias("t")).select("structure_id", "t.*")]
@@ -78,9 +77,11 @@ class Screened:
         spark = pairs.sparkSession
         rows = [(a, b, float(elements.NUMBER[a]), float(elements.NUMBER[b]), *map(float, c)) for (a, b), c in sorted(self.coefficients.items())]
         names = [f"c{k} double" for k in range(6)]
-        table = spark.createDataFrame(rows, "k1 string, k2 string, z1 double, z2 double, " + ", ".join(names))
+        table = driver_table(spark, rows, "k1 string, k2 string, z1 double, z2 double, " + ", ".join(names))
         keyed = pairs.where(F.col("d") <= self.reach).withColumns({"k1": F.least("species_i", "species_j"), "k2": F.greatest("species_i", "species_j")})
-        p = keyed.join(F.broadcast(table), ["k1", "k2"])
+        # A pair without coefficients ends the job where it is met.
+        known = F.when(F.col("z1").isNull(), F.raise_error(F.concat_ws(" ", F.lit("no screening coefficients for"), "k1", "k2")).cast("double")).otherwise(F.col("z1"))
+        p = keyed.join(table, ["k1", "k2"], "left").withColumn("z1", known)
         c, d = [F.col(f"c{k}") for k in range(6)], F.col("d")
         e, de = expr.zbl_energy(d, F.col("z1"), F.col("z2"), c), expr.zbl_slope(d, F.col("z1"), F.col("z2"), c)
         f, df = self.cutoff.value(d), self.cutoff.slope(d)
@@ -163,11 +164,12 @@ class SplinePair:
         for (a, b), (r, e) in sorted(self.data.items()):
             pieces = [tuple(map(float, p)) for p in natural_spline(r, e)]
             rows.append((a, b, [float(x) for x in r], pieces))
-        return spark.createDataFrame(rows, "k1 string, k2 string, knots array<double>, pieces array<struct<a: double, b: double, c: double, d: double>>")
+        return driver_table(spark, rows, "k1 string, k2 string, knots array<double>, pieces array<struct<a: double, b: double, c: double, d: double>>")
 
     def with_energy(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with energy u and slope du; pairs of species without a table don't interact."""
         keyed = pairs.withColumns({"k1": F.least("species_i", "species_j"), "k2": F.greatest("species_i", "species_j")})
-        p = keyed.join(F.broadcast(self.table(pairs.sparkSession)), ["k1", "k2"])
+        p = keyed.join(self.table(pairs.sparkSession), ["k1", "k2"])
         u, du = expr.cubic_at(F.col("knots"), F.col("pieces"), F.col("d"))
         return p.withColumns({"u": u, "du": du}).drop("knots", "pieces")
 

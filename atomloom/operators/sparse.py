@@ -8,13 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomloom.plans.registry import register
+
 
 def grid_cells(points: DataFrame, coordinates: list[str], n_sparse: int, by: list[str], dimensions: list[int] | None = None) -> DataFrame:
     """Points with their cell number on each axis (b0, b1, ...), per category."""
     dims = dimensions or [math.ceil(round(n_sparse ** (1.0 / len(coordinates)), 9))] * len(coordinates)
     bounds = points.groupBy(*by).agg(*[f(c).alias(f"{n}_{k}") for k, c in enumerate(coordinates) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    # One row per category: a model-sized side.
-    joined = points.join(F.broadcast(bounds), by)
+    # One row per category; Spark sees its size when it is there.
+    joined = points.join(bounds, by)
     cells = {}
     for k, c in enumerate(coordinates):
         lo = F.col(f"lo_{k}")
@@ -65,3 +67,9 @@ def select(points: DataFrame, coordinates: list[str], order: list[str], n_sparse
                 point.append(float(lo + step * (at[k] + rng.random())))
             out[key].append(point)
     return out
+
+
+@register("sparsifier", "sample_space_uniform")
+def _uniform(spec: dict):
+    """A sparsifier takes points, their coordinates, their order and the columns of their category, and gives points by category."""
+    return lambda points, coordinates, order, by: select(points, coordinates, order, int(spec["n_sparse"]), by, spec.get("grid_dimensions"), int(spec.get("seed", 799)))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomloom.plans.session import driver_table
+
 from .descriptors import Descriptor, Embedded, ThreeBody, TwoBody, kernel_sums
 from .potentials import Composite, Gap, IsolatedAtom, Screened, SplinePair
 
@@ -100,12 +102,12 @@ class Tables:
 
 
 def _categories(d: Descriptor, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(d.points), ", ".join(f"{k} string" for k in d.keys))
+    return driver_table(spark, sorted(d.points), ", ".join(f"{k} string" for k in d.keys))
 
 
 def tabulate_two_body(d: TwoBody, grids: Grids, spark: SparkSession) -> DataFrame:
     """Twice the sum over sparse points at each distance."""
-    grid = grids.pairs(spark).withColumnRenamed("r", "d").crossJoin(F.broadcast(_categories(d, spark)))
+    grid = grids.pairs(spark).withColumnRenamed("r", "d").crossJoin(_categories(d, spark))
     out = kernel_sums(grid, d.table(spark, spread=False), list(d.keys), ["d"], d.kernel, spread=False)
     return out.select("k1", "k2", "i", F.col("d").alias("r"), (2.0 * F.col("s0") * d.cutoff.value(F.col("d"))).alias("energy"))
 
@@ -115,7 +117,7 @@ def tabulate_three_body(d: ThreeBody, grids: Grids, spark: SparkSession) -> Data
     r1, r2 = F.col("r1"), F.col("r2")
     r12 = F.sqrt(F.greatest(r1 * r1 + r2 * r2 - 2.0 * r1 * r2 * F.col("cos"), F.lit(0.0)))
     grid = grids.triplets(spark).withColumns({"q1": r1 + r2, "q2": (r1 - r2) * (r1 - r2), "q3": r12})
-    rows = grid.crossJoin(F.broadcast(_categories(d, spark)))
+    rows = grid.crossJoin(_categories(d, spark))
     out = kernel_sums(rows, d.table(spark, spread=False), list(d.keys), list(d.at), d.kernel, spread=False)
     energy = 2.0 * F.col("s0") * d.cutoff.value(r1) * d.cutoff.value(r2)
     half = out.select("k1", "k2", "k3", "i", "j", "k", "r1", "r2", "cos", energy.alias("energy"))
@@ -131,7 +133,7 @@ def tabulate_embedded(d: Embedded, grids: Grids, spark: SparkSession) -> tuple[D
     if top is None:
         top = max((p[0] for pts in d.points.values() for p in pts), default=0.0) + EXTRA_DENSITY
     rho = F.col("id") * (top / (grids.n_densities - 1))
-    grid = spark.range(grids.n_densities).select(F.col("id").alias("i"), rho.alias("rho")).crossJoin(F.broadcast(_categories(d, spark)))
+    grid = spark.range(grids.n_densities).select(F.col("id").alias("i"), rho.alias("rho")).crossJoin(_categories(d, spark))
     out = kernel_sums(grid, d.table(spark, spread=False), ["k1"], ["rho"], d.kernel, spread=False)
     embedding = out.select(F.lit(0).alias("tab"), F.col("k1").alias("species"), "i", "rho", F.col("s0").alias("energy"))
     species = sorted(k[0] for k in d.points)
@@ -167,15 +169,15 @@ def tabulate(potential, grids: Grids, spark: SparkSession) -> Tables:
         missing = [p for p in names if p not in potential.coefficients]
         if missing:
             raise ValueError(f"no screening coefficients for {missing}")
-        cats = spark.createDataFrame(names, "species_i string, species_j string")
+        cats = driver_table(spark, names, "species_i string, species_j string")
         # At the origin the energy is defined as 0; a distance of 1 stands in for the division.
-        grid = grids.pairs(spark).crossJoin(F.broadcast(cats)).withColumn("d", F.when(F.col("r") < 1e-4, F.lit(1.0)).otherwise(F.col("r")))
+        grid = grids.pairs(spark).crossJoin(cats).withColumn("d", F.when(F.col("r") < 1e-4, F.lit(1.0)).otherwise(F.col("r")))
         inside = potential.with_energy(grid).withColumn("u", F.when(F.col("r") < 1e-4, F.lit(0.0)).otherwise(F.col("u"))).select("k1", "k2", "i", "u")
         all_rows = grid.select(F.col("species_i").alias("k1"), F.col("species_j").alias("k2"), "i", "r")
         out.pairs.append(all_rows.join(inside, ["k1", "k2", "i"], "left").select("k1", "k2", "i", "r", F.coalesce("u", F.lit(0.0)).alias("energy")))
     elif isinstance(potential, SplinePair):
-        cats = spark.createDataFrame(sorted(potential.data), "species_i string, species_j string")
-        grid = grids.pairs(spark).withColumn("d", F.col("r")).crossJoin(F.broadcast(cats))
+        cats = driver_table(spark, sorted(potential.data), "species_i string, species_j string")
+        grid = grids.pairs(spark).withColumn("d", F.col("r")).crossJoin(cats)
         out.pairs.append(potential.with_energy(grid).select("k1", "k2", "i", "r", F.col("u").alias("energy")))
     else:
         raise ValueError(f"{type(potential).__name__} can't be tabulated")

@@ -128,6 +128,71 @@ _GRID2 = "grid AS (SELECT i, CASE WHEN i = 199 THEN 8.0 ELSE i * (8.0 / 199) END
 _TAB2 = f"""{_GRID2}, {_SP}, t2 AS (
   SELECT k1, k2, i, any_value(d) AS r, 2 * sum(c * fs * {_K2}) * any_value({_cos('d', 8.0, 3.0)}) AS energy FROM grid, sf GROUP BY k1, k2, i)"""
 
+
+_TF = f"""{_NB}, {_ST}, tt AS (
+  SELECT a.g, a.i, a.j AS n1, b.j AS n2, a.si AS k1, least(a.sj, b.sj) AS k2, greatest(a.sj, b.sj) AS k3, a.d AS r01, b.d AS r02, a.f AS f1, b.f AS f2, a.df AS df1, b.df AS df2,
+         a.rx AS x1, a.ry AS y1, a.rz AS z1, b.rx AS x2, b.ry AS y2, b.rz AS z2, b.rx - a.rx AS x3, b.ry - a.ry AS y3, b.rz - a.rz AS z3,
+         a.d + b.d AS q1, (a.d - b.d) * (a.d - b.d) AS q2, sqrt((b.rx - a.rx) * (b.rx - a.rx) + (b.ry - a.ry) * (b.ry - a.ry) + (b.rz - a.rz) * (b.rz - a.rz)) AS q3
+  FROM nb a JOIN nb b ON a.g = b.g AND a.i = b.i AND a.j < b.j),
+tk AS (SELECT *, fs * {_K3} AS k FROM tt JOIN stf USING (k1, k2, k3)),
+tg AS (SELECT *, 2 * ((k * (p1 - q1) / 4 + 2 * (r01 - r02) * k * (p2 - q2) / 4) * f1 * f2 + k * df1 * f2) / r01 AS g1,
+         2 * ((k * (p1 - q1) / 4 - 2 * (r01 - r02) * k * (p2 - q2) / 4) * f1 * f2 + k * f1 * df2) / r02 AS g2,
+         CASE WHEN q3 > 0 THEN 2 * k * (p3 - q3) / 4 * f1 * f2 / q3 ELSE 0 END AS g3 FROM tk)"""
+#: Densities with signed distances, and their slopes.
+_EF = f"""{_RHO}, {_SE}, es AS (
+  SELECT a.g, a.i, b.i AS j, a.s AS k1, b.x - a.x AS rx, abs(b.x - a.x) AS d,
+    CASE WHEN (a.s = 'click' AND b.s = 'purchase') OR (a.s = 'purchase' AND b.s = 'click') THEN CASE WHEN abs(b.x - a.x) >= 9 THEN 0.0 ELSE -0.5 * 3 / 9 * pow(1 - abs(b.x - a.x) / 9, 2) END
+         ELSE {_dpoly('abs(b.x - a.x)', 12.0, 1.0)} END AS dr
+  FROM ev a JOIN ev b ON a.g = b.g AND a.i <> b.i WHERE abs(b.x - a.x) > 0 AND abs(b.x - a.x) <= 12),
+eg AS (SELECT es.g, es.i, es.j, col_id, rx, 2.25 * exp(-(rho - p) * (rho - p) / 8) * (p - rho) / 4 * dr / d AS k FROM es JOIN dens USING (g, i) JOIN se ON se.k1 = es.k1)"""
+#: Neighbours with periodic images in the cell of 60 x 12 x 12.
+_NBP = f"""{_AT}, img AS (SELECT a * 60.0 AS ox, b * 12.0 AS oy, c * 12.0 AS oz FROM range(-1, 2) x(a), range(-1, 2) y(b), range(-1, 2) z(c)),
+nb0 AS (SELECT a.g, a.i, b.i AS j, a.s AS si, b.s AS sj, b.x + ox - a.x AS rx, b.y + oy - a.y AS ry, b.z + oz - a.z AS rz FROM atm a JOIN atm b USING (g), img
+        WHERE abs(b.x + ox - a.x) <= 8 AND abs(b.y + oy - a.y) <= 8 AND abs(b.z + oz - a.z) <= 8),
+nb1 AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS d, least(si, sj) AS k1, greatest(si, sj) AS k2 FROM nb0),
+nb AS (SELECT *, {_cos('d', 8.0, 3.0)} AS f, {_dcos('d', 8.0, 3.0)} AS df FROM nb1 WHERE d > 0 AND d <= 8)"""
+
+
+def _least_squares(observed: str) -> str:
+    """Coefficients of the pair model from CTEs nb, sf and ``observed`` (g, obs, b, si), by normal equations and elimination."""
+    return f"""
+raw AS (
+  SELECT g, 0 AS obs, col_id, sum({_K2} * f * fs) AS a FROM nb JOIN sf USING (k1, k2) GROUP BY g, col_id
+  UNION ALL
+  SELECT g, i * 3 + 7 + k, col_id, sum(2 * fs * ({_K2} * (p - d) / 4 * f + {_K2} * df) / d * CASE k WHEN 0 THEN rx WHEN 1 THEN ry ELSE rz END)
+  FROM nb JOIN sf USING (k1, k2), range(3) t(k) GROUP BY g, i, k, col_id),
+m AS (SELECT g, obs, col_id, a * si AS a FROM raw JOIN {observed} USING (g, obs) UNION ALL SELECT g, obs, 8, b FROM {observed}),
+ata AS (SELECT x.col_id AS c1, y.col_id AS c2, sum(x.a * y.a) AS v FROM m x JOIN m y ON x.g = y.g AND x.obs = y.obs WHERE x.col_id < 8 GROUP BY x.col_id, y.col_id),
+prior AS (SELECT x.col_id AS c1, y.col_id AS c2, 2.25 * exp(-(x.p - y.p) * (x.p - y.p) / 8) * x.fs * y.fs + CASE WHEN x.col_id = y.col_id THEN 1e-8 ELSE 0 END AS v FROM sf x JOIN sf y USING (k1, k2)),
+cell AS (SELECT c1, c2, coalesce(sum(v), 0) AS v FROM (SELECT a.i AS c1, b.i AS c2, 0.0::DOUBLE AS v FROM range(8) a(i), range(9) b(i) UNION ALL SELECT * FROM ata UNION ALL SELECT * FROM prior) GROUP BY c1, c2),
+line AS (SELECT c1, list(v ORDER BY c2) AS v FROM cell GROUP BY c1),
+gj(k, m) AS (
+  SELECT 0, (SELECT list(v ORDER BY c1) FROM line)
+  UNION ALL
+  SELECT k + 1, [[CASE WHEN i = k + 1 THEN m[i][j] / m[k + 1][k + 1] ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END FOR j IN range(1, 10)] FOR i IN range(1, 9)] FROM gj WHERE k < 8)
+SELECT CAST(i AS INTEGER) AS col_id, {_round('m[i + 1][9]')} AS coefficient FROM gj, range(8) t(i) WHERE k = 8"""
+
+
+def _spline_map(name: str, n: int) -> str:
+    """CTE (c, j, w): coefficient c of the straight-ended B-spline through n values is the sum of w times value j.
+
+    Inside, the inverse of the matrix with 4 on and 1 beside the diagonal is
+    known: products of hyperbolic sines of the angle of cosh 2.
+    """
+    m, t = n - 2, "1.3169578969248166e0"
+    sinh = lambda x: f"((exp({t} * ({x})) - exp(-{t} * ({x}))) / 2)"
+    green = f"(CASE WHEN (i + j) % 2 = 0 THEN 1 ELSE -1 END) * {sinh('least(i, j)')} * {sinh(f'{m + 1} - greatest(i, j)')} / ({sinh('1')} * {sinh(str(m + 1))})"
+    return f"""{name}_g AS (SELECT i, j, {green} AS w FROM range(1, {m + 1}) a(i), range(1, {m + 1}) b(j)),
+{name}_i AS (
+  SELECT i, j, 6 * w AS w FROM {name}_g UNION ALL SELECT i, 0, -w FROM {name}_g WHERE j = 1 UNION ALL SELECT i, {n - 1}, -w FROM {name}_g WHERE j = {m}
+  UNION ALL SELECT 0, 0, 1.0 UNION ALL SELECT {n - 1}, {n - 1}, 1.0),
+{name} AS (
+  SELECT c, j, sum(w) AS w FROM (
+    SELECT i + 1 AS c, j, w FROM {name}_i
+    UNION ALL SELECT 0, j, 2 * w FROM {name}_i WHERE i = 0 UNION ALL SELECT 0, j, -w FROM {name}_i WHERE i = 1
+    UNION ALL SELECT {n + 1}, j, 2 * w FROM {name}_i WHERE i = {n - 1} UNION ALL SELECT {n + 1}, j, -w FROM {name}_i WHERE i = {n - 2}) GROUP BY c, j)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "cutoff_cos": _line(f"{_round(_cos('l_quantity', 40.0, 25.0), 9)} AS f, {_round(_dcos('l_quantity', 40.0, 25.0), 9)} AS df"),
     "cutoff_perriot": _line(f"{_round(_poly('l_quantity', 40.0, 10.0), 9)} AS f, {_round(_dpoly('l_quantity', 40.0, 10.0), 9)} AS df"),
@@ -158,7 +223,7 @@ SELECT {_KEY}, {_round('ab')} AS "dot", {_round('n')} AS len, {_round('y * -0.5
 WITH t AS (SELECT {_KEY}, l_quantity AS q, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem)
 SELECT {_KEY}, {_round('abs(q * (y * z - 0) - 1 * (-2 * z - 0.5) + 0)')} AS volume FROM t""",
     "element_lookup": "WITH el(z, species, mass) AS (VALUES "
-    + ", ".join(f"({z}, '{SYMBOL[z]}', {MASS[SYMBOL[z]]}::DOUBLE)" for z in range(1, 7))
+    + ", ".join(f"({z}, '{SYMBOL[z]}', {MASS[SYMBOL[z]]}::DOUBLE)" for z in sorted(SYMBOL))
     + ") SELECT p_partkey, species, CAST(z AS BIGINT) AS z, mass FROM part JOIN el ON p_size = z",
     "spline_interval_lookup": _line(f"{_round(_spline('(l_quantity / 5.0)', 'value'), 8)} AS e, {_round(_spline('(l_quantity / 5.0)', 'slope'), 8)} AS de"),
     "pair_neighbours_count": f"WITH {_NB} SELECT g AS structure_id, count(*) AS n, {_round('sum(d)', 5)} AS sum_d FROM nb GROUP BY g",
@@ -242,4 +307,53 @@ FROM grid, s a, s b""",
 SELECT k1, k2, i, {_round(f'CASE WHEN d < 1e-4 OR d > 6 THEN 0.0 ELSE {_ZBL} END')} AS energy FROM (SELECT i, CASE WHEN d = 0 THEN 1e-5 ELSE d END AS d FROM grid), zc""",
     "tabulate_merge": f"""WITH {_TAB2}
 SELECT k1, k2, i, {_round(f"energy + CASE WHEN (k1 = 'A' AND k2 = 'N') OR (k1 = 'R' AND k2 = 'R') THEN {_spline('r', 'value')} ELSE 0 END", 7)} AS energy FROM t2""",
+    "triplet_forces": f"""WITH {_TF}, fo AS (
+  SELECT g, i AS a, col_id, g1 * x1 + g2 * x2 AS fx, g1 * y1 + g2 * y2 AS fy, g1 * z1 + g2 * z2 AS fz FROM tg
+  UNION ALL SELECT g, n1, col_id, g3 * x3 - g1 * x1, g3 * y3 - g1 * y1, g3 * z3 - g1 * z1 FROM tg
+  UNION ALL SELECT g, n2, col_id, -g2 * x2 - g3 * x3, -g2 * y2 - g3 * y3, -g2 * z2 - g3 * z3 FROM tg)
+SELECT g AS structure_id, a AS atom_id, col_id, {_round('sum(fx)', 5)} AS fx, {_round('sum(fy)', 5)} AS fy, {_round('sum(fz)', 5)} AS fz FROM fo GROUP BY g, a, col_id""",
+    "triplet_virials": f"""WITH {_TF} SELECT g AS structure_id, col_id, {_round('-sum(g1 * x1 * x1 + g2 * x2 * x2 + g3 * x3 * x3)', 4)} AS vxx,
+  {_round('-sum(g1 * x1 * y1 + g2 * x2 * y2 + g3 * x3 * y3)', 4)} AS vxy, {_round('-sum(g1 * z1 * z1 + g2 * z2 * z2 + g3 * z3 * z3)', 4)} AS vzz FROM tg GROUP BY g, col_id""",
+    "eam_forces": f"""WITH {_EF}, fo AS (
+  SELECT g, i AS a, col_id, k * rx AS fx, -k * rx * rx AS vxx FROM eg UNION ALL SELECT g, j, col_id, -k * rx, 0 FROM eg
+  UNION ALL SELECT g, i, col_id, 0, 0 FROM dens JOIN se USING (k1))
+SELECT g AS structure_id, a AS atom_id, col_id, {_round('sum(fx)', 5)} AS fx, {_round('sum(vxx)', 5)} AS vxx FROM fo GROUP BY g, a, col_id""",
+    "sparse_self_covariance": f"""WITH {_SP}, {_ST}
+SELECT 'pair' AS descriptor, x.col_id AS c1, y.col_id AS c2, {_round('2.25 * exp(-(x.p - y.p) * (x.p - y.p) / 8) * x.fs * y.fs', 8)} AS k FROM sf x JOIN sf y USING (k1, k2)
+UNION ALL SELECT 'triple', x.col_id, y.col_id, {_round('2.25 * exp(-(pow(x.p1 - y.p1, 2) + pow(x.p2 - y.p2, 2) + pow(x.p3 - y.p3, 2)) / 8) * x.fs * y.fs', 8)} FROM stf x JOIN stf y USING (k1, k2, k3)""",
+    "choose_sparse_points": f"""WITH {_NB}, hp AS (SELECT * FROM nb WHERE j >= i), {_cells(['d'], 3, 'k1, k2', 'hp', 'g, i, j')}
+SELECT k1, k2, row_number() OVER (PARTITION BY k1, k2 ORDER BY b0) - 1 AS n, {_round('d', 8)} AS d FROM fi WHERE rn = 1""",
+    "sigma_per_ct": f"""WITH {_STR}, k AS (SELECT *, {_KIND} AS ct FROM st0), m AS (
+  SELECT *, CASE WHEN ct LIKE '%melt%' THEN 3.0 WHEN ct LIKE '%o%' THEN 10.0 WHEN ct LIKE '%sh%' THEN 0.5 ELSE 1.0 END AS f FROM k)
+SELECT g AS structure_id, {_round('1 / (0.01 * f * sqrt(n_atoms))', 7)} AS e, {_round('1 / (0.1 * f * sqrt(n_atoms))', 7)} AS v, {_round('1 / (0.05 * f)', 7)} AS f FROM m""",
+    "set_predictions": f"""WITH {_E2}, gr AS (SELECT g, i, sum(2 * c * fs * ({_K2} * (p - d) / 4 * f + {_K2} * df) / d * rx) AS k FROM nb JOIN sf USING (k1, k2) GROUP BY g, i),
+t AS (SELECT atm.g, max(coalesce(k, 0)) AS top FROM atm LEFT JOIN gr ON gr.g = atm.g AND gr.i = atm.i GROUP BY atm.g)
+SELECT st0.g AS structure_id, {_round('coalesce(e, 0)')} AS energy, {_round('top')} AS top, true AS bare FROM st0 JOIN t USING (g) LEFT JOIN e2 USING (g)""",
+    "fit_solve": f"WITH RECURSIVE {_NB}, {_SP}, {_OBS[len(_AT) + 2 :]}, {_least_squares('obs')}",
+    "composite_fit": f"""WITH RECURSIVE {_NBP}, {_SP}, {_STR},
+sp2 AS (SELECT g, i, rx, ry, rz, d, {_spline('d', 'value')} AS u, {_spline('d', 'slope')} AS du FROM nb WHERE (k1 = 'A' AND k2 = 'N') OR (k1 = 'R' AND k2 = 'R')),
+se2 AS (SELECT g, sum(u) / 2 AS e FROM sp2 GROUP BY g), sf2 AS (SELECT g, i, sum(du / d * rx) AS sx, sum(du / d * ry) AS sy, sum(du / d * rz) AS sz FROM sp2 GROUP BY g, i),
+left_atm AS (SELECT atm.g, atm.i, fx - coalesce(sx, 0) AS fx, fy - coalesce(sy, 0) AS fy, fz - coalesce(sz, 0) AS fz FROM atm LEFT JOIN sf2 ON sf2.g = atm.g AND sf2.i = atm.i),
+obs AS (
+  SELECT g, 0 AS obs, (energy - coalesce(e, 0)) / (0.01 * sqrt(n_atoms)) AS b, 1 / (0.01 * sqrt(n_atoms)) AS si FROM st0 LEFT JOIN se2 USING (g) WHERE energy IS NOT NULL
+  UNION ALL SELECT g, i * 3 + 7, fx / 0.5, 1 / 0.5 FROM left_atm UNION ALL SELECT g, i * 3 + 8, fy / 0.5, 1 / 0.5 FROM left_atm UNION ALL SELECT g, i * 3 + 9, fz / 0.5, 1 / 0.5 FROM left_atm), {_least_squares('obs')}""",
+    "tabulate_splines": f"""WITH {_TAB2}, {_spline_map('bs', 200)}
+SELECT k1, k2, CAST(c AS INTEGER) AS n, {_round('sum(w * energy)', 8)} AS c FROM t2 JOIN bs ON j = i GROUP BY k1, k2, bs.c""",
+    "tabulate_triplet_splines": f"""WITH {_ST}, {_spline_map('br', 12)}, {_spline_map('ba', 9)}, gr AS (
+  SELECT i, j, k, 0.5 + i * (5.5 / 11) AS r1, 0.5 + j * (5.5 / 11) AS r2, -1.0 + k * 0.25 AS u FROM range(12) a(i), range(12) b(j), range(9) c(k)),
+q AS (SELECT *, r1 + r2 AS q1, (r1 - r2) * (r1 - r2) AS q2, sqrt(greatest(r1 * r1 + r2 * r2 - 2 * r1 * r2 * u, 0)) AS q3 FROM gr),
+e0 AS (SELECT k1, k2, k3, i, j, k, 2 * c * fs * {_K3} * ({_cos('r1', 8.0, 3.0)}) * ({_cos('r2', 8.0, 3.0)}) AS e FROM q, stf),
+e1 AS (SELECT k1, k2, k3, i, e0.j, ba.c AS z, sum(w * e) AS e FROM e0 JOIN ba ON ba.j = k GROUP BY k1, k2, k3, i, e0.j, ba.c),
+e2 AS (SELECT k1, k2, k3, i, br.c AS y, z, sum(w * e) AS e FROM e1 JOIN br ON br.j = e1.j GROUP BY k1, k2, k3, i, br.c, z),
+e3 AS (SELECT k1, k2, k3, br.c AS x, y, z, sum(w * e) AS e FROM e2 JOIN br ON br.j = i GROUP BY k1, k2, k3, br.c, y, z)
+SELECT k1, k2, k3, CAST((x * 14 + y) * 11 + z AS INTEGER) AS n, {_round('e', 7)} AS c FROM e3""",
+    "xyz_round_trip": f"""WITH {_AT}, {_STR}
+SELECT any_value(kind) AS config_type, any_value(n_atoms) AS n_atoms, {_round('any_value(energy)', 9)} AS energy, true AS no_virials, {_round('60.0 * 12 * 12')} AS volume, count(*) AS n,
+  {_round('sum(x)')} AS sum_x, {_round('sum(y)')} AS sum_y, {_round('sum(z)')} AS sum_z, {_round('sum(fx)')} AS sum_fx, {_round('sum(fy)')} AS sum_fy, {_round('sum(fz)')} AS sum_fz, CAST(sum(i * ascii(s)) AS BIGINT) AS order_sum
+FROM atm JOIN st0 USING (g) GROUP BY g""",
+    "xyz_predict": f"""WITH {_NBP}, {_SP}, {_STR}, e AS (SELECT g, sum(c * fs * {_K2} * f) AS e FROM nb JOIN sf USING (k1, k2) GROUP BY g),
+gr AS (SELECT g, i, rx, ry, 2 * c * fs * ({_K2} * (p - d) / 4 * f + {_K2} * df) / d AS k FROM nb JOIN sf USING (k1, k2)),
+v AS (SELECT g, -sum(k * rx * ry) / 2 AS vxy FROM gr GROUP BY g), fo AS (SELECT g, sum(abs(fx)) AS fx FROM (SELECT g, i, sum(k * rx) AS fx FROM gr GROUP BY g, i) GROUP BY g)
+SELECT {_round('energy', 9)} AS read, n_atoms, {_round('coalesce(e, 0)', 5)} AS energy, {_round('coalesce(fx, 0)', 5)} AS sum_fx, {_round('coalesce(vxy, 0)', 4)} AS vxy
+FROM st0 LEFT JOIN e USING (g) LEFT JOIN v USING (g) LEFT JOIN fo USING (g)""",
 }

@@ -72,7 +72,7 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return atoms, nb.open_neighbours(atoms, 8.0)
 
 
-# ------------------------------------------------------------ scalar functions
+# Scalar functions
 
 
 def _radial(spark, sf_dir, family, spec, column="l_quantity") -> DataFrame:
@@ -167,8 +167,8 @@ def element_lookup(spark, sf_dir):
     """Parts' sizes as atomic numbers."""
     from atomloom.functions.elements import element_table
 
-    dim = F.broadcast(element_table(spark).where("z <= 6"))
-    return table(spark, sf_dir, "part").join(dim, F.col("p_size") == F.col("z")).select("p_partkey", "species", F.col("z").cast("bigint").alias("z"), "mass")
+    dim = element_table(spark)  # a hundred rows or so
+    return table(spark, sf_dir, "part").join(F.broadcast(dim), F.col("p_size") == F.col("z")).select("p_partkey", "species", F.col("z").cast("bigint").alias("z"), "mass")
 
 
 @query
@@ -180,7 +180,7 @@ def spline_interval_lookup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(*line_key(), r(v, 8).alias("e"), r(s, 8).alias("de"))
 
 
-# ------------------------------------------------------- neighbours, descriptors
+# Neighbours, descriptors
 
 
 @query
@@ -270,6 +270,29 @@ def pair_virials(spark, sf_dir):
     return t.groupBy("structure_id", "col_id").agg(*[r(F.sum(c), 5).alias(c) for c in ("vxx", "vxy", "vzz")])
 
 
+@query
+def triplet_forces(spark, sf_dir):
+    """Force covariance on each atom of each sparse triplet."""
+    atoms, n = _neighbours(spark, sf_dir)
+    t = _spread(build("descriptor", THREE_BODY), atoms, n)
+    return t.groupBy("structure_id", "atom_id", "col_id").agg(*[r(F.sum(c), 5).alias(c) for c in ("fx", "fy", "fz")])
+
+
+@query
+def triplet_virials(spark, sf_dir):
+    atoms, n = _neighbours(spark, sf_dir)
+    t = _spread(build("descriptor", THREE_BODY), atoms, n)
+    return t.groupBy("structure_id", "col_id").agg(*[r(F.sum(c), 4).alias(c) for c in ("vxx", "vxy", "vzz")])
+
+
+@query
+def eam_forces(spark, sf_dir):
+    """Force and virial covariance of each event with each sparse density."""
+    atoms = event_points(spark, sf_dir)
+    t = _spread(build("descriptor", EMBEDDED), atoms, nb.open_neighbours(atoms, 12.0))
+    return t.groupBy("structure_id", "atom_id", "col_id").agg(r(F.sum("fx"), 5).alias("fx"), r(F.sum("vxx"), 5).alias("vxx"))
+
+
 @query
 def covariate_with_zeros(spark, sf_dir):
     """Covariances of all structures with all sparse points; those without pairs are 0."""
@@ -293,6 +316,28 @@ def self_covariance(spark, sf_dir):
     return p.join(q, ["k1", "k2"]).select("k1", "k2", "b0", "b1", r(k * F.col("f") * F.col("f1"), 8).alias("k"))
 
 
+@query
+def sparse_self_covariance(spark, sf_dir):
+    """The prior's blocks of the pair and triplet models, as a fit uses them."""
+    rows = []
+    for name, spec in (("pair", TWO_BODY), ("triple", THREE_BODY)):
+        for cols, k in build("descriptor", spec).self_covariance():
+            rows += [(name, a, b, float(k[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    out = spark.createDataFrame(rows, "descriptor string, c1 int, c2 int, k double")
+    return out.select("descriptor", "c1", "c2", r("k", 8).alias("k"))
+
+
+@query
+def choose_sparse_points(spark, sf_dir):
+    """Sparse pair distances as a fit chooses them from data: all cells of this grid are occupied, so none is drawn at random."""
+    atoms, n = _neighbours(spark, sf_dir)
+    spec = {k: v for k, v in TWO_BODY.items() if k != "sparse_data"} | {"sparsify": {"type": "sample_space_uniform", "n_sparse": 3, "grid_dimensions": [3]}}
+    d = build("descriptor", spec)
+    d.choose(atoms, n)
+    rows = [(*cat, i, float(p[0])) for cat, points in sorted(d.points.items()) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "k1 string, k2 string, n int, d double").select("k1", "k2", "n", r("d", 8).alias("d"))
+
+
 @query
 def sparsify_uniform_1d(spark, sf_dir):
     """First pair distance in each occupied of 12 cells, by category."""
@@ -309,7 +354,7 @@ def sparsify_uniform_3d(spark, sf_dir):
     return out.select("k1", "k2", "k3", "b0", "b1", "b2", "structure_id", "i", "n1", "n2")
 
 
-# ---------------------------------------------------------------- potentials
+# Potentials
 
 
 def _potential(extra: dict | None = None):
@@ -418,7 +463,7 @@ def supercell_repeat(spark, sf_dir):
     return s.join(n, "structure_id").select("structure_id", "n_atoms", "n", "ids", "sx", "sz", r("energy", 6).alias("energy"), r(st.volume(F.col("lattice"))).alias("volume"))
 
 
-# ------------------------------------------------------------ rules and targets
+# Rules and targets
 
 SIMPLE = {"type": "simple", "E_per_root_n_atoms": 0.01, "liquid": 5.0, "short_range": 3.0}
 KEYWORDS = {"type": "per_ct", "E": 0.01, "F": 0.05, "V": 0.1, "per_keyword": [{"contains": "sta", "multiplier": 3.0}, {"contains": "a", "multiplier": 10.0}, {"contains": "ro", "multiplier": 0.5}]}
@@ -448,6 +493,26 @@ def sigma_per_keyword(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r(sigmas.keyword_factor(F.lower("p_type"), rules)).alias("factor"))
 
 
+@query
+def sigma_per_ct(spark, sf_dir):
+    """Sigmas by the first keyword that a structure's kind has."""
+    s = order_structures(spark, sf_dir).withColumn("config_type", _kinds(F.col("config_type")))
+    rules = build("sigma_rules", {"type": "per_ct", "E": 0.01, "F": 0.05, "V": 0.1, "per_keyword": [{"contains": "melt", "multiplier": 3.0}, {"contains": "o", "multiplier": 10.0}, {"contains": "sh", "multiplier": 0.5}]})
+    out, a = rules(s, order_atoms(spark, sf_dir))
+    force = a.groupBy("structure_id").agg(F.max("sx").alias("sx"))
+    return out.join(force, "structure_id").select("structure_id", r("energy_sigma_inv", 7).alias("e"), r(F.col("virial_sigmas_inv")[0][0], 7).alias("v"), r("sx", 7).alias("f"))
+
+
+@query
+def set_predictions(spark, sf_dir):
+    """Energies and forces overwritten by the pair model's, virials taken away again."""
+    s, atoms, p, f = _predicted(spark, sf_dir, build("potential", {"type": "gap", "descriptors": {"pair": TWO_BODY}}))
+    new, moved = st.set_predictions(s, atoms, p, f)
+    total = moved.groupBy("structure_id").agg(F.sum("fx").alias("fx"), F.max("fx").alias("top"))
+    bare = st.strip_virials(new)
+    return bare.join(total, "structure_id").select("structure_id", r("energy", 6).alias("energy"), r("top", 6).alias("top"), F.col("virials").isNull().alias("bare"))
+
+
 def _observed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return build("sigma_rules", SIMPLE)(order_structures(spark, sf_dir), order_atoms(spark, sf_dir))
 
@@ -476,12 +541,25 @@ def fit_solve(spark, sf_dir):
     atoms, n = _neighbours(spark, sf_dir)
     d = {"pair": build("descriptor", TWO_BODY)}
     s, a = _observed(spark, sf_dir)
-    r, m = fits.triangular_factor(fits.targets(s, a), atoms, n, d)
-    c = fits.solve(r, fits.prior_factor(d, 1e-8))
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(c)], "col_id int, coefficient double")
+    factor, _ = fits.triangular_factor(fits.targets(s, a), atoms, n, d)
+    c = fits.solve(factor, fits.prior_factor(d, 1e-8))
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(c)], "col_id int, coefficient double").select("col_id", r("coefficient", 6).alias("coefficient"))
 
 
-# ---------------------------------------------------------------- tabulation
+@query
+def composite_fit(spark, sf_dir):
+    """The pair model fitted, with periodic images, to what a spline potential leaves of the orders' energies and forces."""
+    spec = {
+        "type": "composite",
+        "external": {"type": "composite", "potentials": {"spline": {"type": "spline_pairpot", "pair_data": {"A,N": SPLINE, "R,R": SPLINE}}}},
+        "fits": {"gap": {"type": "gap", "sigma_rules": SIMPLE, "descriptors": {"pair": TWO_BODY | {"sparse_data": {k: {"sparse_points": p} for k, (p, _) in PAIR_POINTS.items()}}}}},
+    }
+    out = fits.read_fit(spec).fit(order_structures(spark, sf_dir), order_atoms(spark, sf_dir))
+    found = out.potentials["gap"].descriptors["pair"].flat()
+    return spark.createDataFrame([(n, float(c)) for n, (_, _, _, c) in enumerate(found)], "col_id int, coefficient double").select("col_id", r("coefficient", 6).alias("coefficient"))
+
+
+# Tabulation
 
 GRIDS = {"species": ["Fe", "Ni"], "r_max_2b": 8.0, "n2b": 200, "r_min_3b": 0.5, "r_max_3b": 6.0, "n3b_r": 12, "n3b_angle": 9, "n_densities": 100}
 
@@ -532,9 +610,49 @@ def tabulate_splines(spark, sf_dir):
     return t.select("k1", "k2", F.posexplode("coefficients").alias("n", "c")).select("k1", "k2", "n", r("c", 8).alias("c"))
 
 
+@query
+def tabulate_triplet_splines(spark, sf_dir):
+    """Tensor-product B-spline coefficients of the triplet tables."""
+    t = tab.triplet_splines(tab.tabulate_three_body(build("descriptor", THREE_BODY), tab.Grids.read(GRIDS), spark))
+    return t.select("k1", "k2", "k3", F.posexplode("coefficients").alias("n", "c")).select("k1", "k2", "k3", "n", r("c", 7).alias("c"))
+
+
+# Files
+
+
 @query
 def xyz_frames(spark, sf_dir):
     """Orders written as extended XYZ frames."""
     from atomloom.sources.xyz import frame_text
 
     return frame_text(order_structures(spark, sf_dir), order_atoms(spark, sf_dir))
+
+
+def _through_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The orders written to extended XYZ files of the shared folder and read again; structures have other numbers then."""
+    from atomloom.plans.session import fresh_dir, remove_at_end
+    from atomloom.sources.xyz import read_xyz, write_xyz
+
+    folder = fresh_dir(spark, "xyz")
+    write_xyz(order_structures(spark, sf_dir), order_atoms(spark, sf_dir), folder)
+    remove_at_end(spark, folder)
+    return read_xyz(spark, folder)
+
+
+@query
+def xyz_round_trip(spark, sf_dir):
+    """What frames hold after writing and reading."""
+    s, a = _through_files(spark, sf_dir)
+    n = a.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), *[r(F.sum(c), 6).alias(f"sum_{c}") for c in ("x", "y", "z", "fx", "fy", "fz")], F.sum(F.col("atom_id") * F.ascii("species")).alias("order_sum"))
+    return s.join(n, "structure_id").select("config_type", F.col("n_atoms").alias("n_atoms"), r("energy", 9).alias("energy"), F.col("virials").isNull().alias("no_virials"), r(st.volume(F.col("lattice"))).alias("volume"), *[c for c in n.columns if c != "structure_id"])
+
+
+@query
+def xyz_predict(spark, sf_dir):
+    """Frames read from files and predicted by the pair model with periodic images."""
+    s, a = _through_files(spark, sf_dir)
+    p, f = pot.predict(s, a, build("potential", {"type": "gap", "descriptors": {"pair": TWO_BODY}}))
+    old = s.select("structure_id", F.col("energy").alias("read"))
+    new, moved = st.set_predictions(s, a, p, f)
+    total = moved.groupBy("structure_id").agg(F.sum(F.abs("fx")).alias("fx"))
+    return new.join(old, "structure_id").join(total, "structure_id").select(r("read", 9).alias("read"), "n_atoms", r("energy", 5).alias("energy"), r("fx", 5).alias("sum_fx"), r(F.col("virials")[0][1], 4).alias("vxy"))

@@ -6,6 +6,7 @@ distance return Column expressions, so an added component stays in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -28,8 +29,8 @@ def register(family: str, name: str):
 def build(family: str, spec: dict, default: str | None = None) -> Any:
     name = spec.get("type", default)
     if (family, name) not in _BUILDERS:
-        # Files of other programs put their own prefix before a type's name.
-        ends = [n for n in known(family) if str(name).endswith(n)]
+        # Files of other programs may have one letter, or how a fit is held, before a type's name.
+        ends = [n for n in known(family) if str(name).endswith(n) and re.fullmatch("(in_ram_)?[a-z]?", str(name)[: -len(n)])]
         if not ends:
             raise ValueError(f"unknown {family} type {name!r}; known: {known(family)}")
         name = max(ends, key=len)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of at most so many bytes may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -34,6 +39,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "atomloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
     return folder
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own within the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, which must be there, when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute now, into Parquet files of the shared folder, and read them again: the lineage ends there."""
+    spark = df.sparkSession
+    folder = fresh_dir(spark, "cut")
+    df.write.parquet(folder)
+    remove_at_end(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def driver_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A table of the driver's rows, broadcast if they fit BROADCAST_BYTES and joined by Spark's own choice beyond it."""
+    size = sum(_size(x) for row in rows for x in row)
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def _size(x) -> int:
+    if isinstance(x, (list, tuple)):
+        return 16 + sum(map(_size, x))
+    return 16 + len(x) if isinstance(x, str) else 8

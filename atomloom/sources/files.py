@@ -55,7 +55,10 @@ def read_doubles(spark: SparkSession, path: str) -> list[float]:
 
 def write_tables(tables: Tables, grids: Grids, spec: dict, potential, folder: str) -> None:
     """Spline coefficients as Parquet: e0, pairs (only if there is no embedding), triplets, meta."""
-    spark = SparkSession.getActiveSession()
+    parts = [t for name in ("isolated", "pairs", "triplets", "embedding", "pair_densities") for t in getattr(tables, name)]
+    if not parts:
+        raise ValueError("there is nothing to write")
+    spark = parts[0].sparkSession
     meta = {"comment1": json.dumps(potential.to_json()), "comment2": json.dumps(spec)}
     meta["grid_limits_2b"] = json.dumps([0.0, grids.r_max_2b])
     meta["n2b"] = str(grids.n2b)

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from atomloom.operators.potentials import natural_spline, predict, read_potential
 from atomloom.operators.tabulate import Grids, cubic_coefficients, cubic_coefficients_3d, tabulate
@@ -78,7 +79,62 @@ def test_unknown_or_incomplete_components_are_refused(spec):
 
 
 def test_types_may_have_a_prefix():
-    assert read_potential({"type": "my_gap", "descriptors": {"x": PAIR}}).to_json() == read_potential({"type": "gap", "descriptors": {"x": PAIR}}).to_json()
+    for name in ("xgap", "in_ram_gap", "in_ram_xgap"):
+        assert read_potential({"type": name, "descriptors": {"x": PAIR}}).to_json() == read_potential({"type": "gap", "descriptors": {"x": PAIR}}).to_json()
+    for name in ("my_gap", "notagap", "gapx"):
+        with pytest.raises(ValueError, match=name):
+            read_potential({"type": name, "descriptors": {"x": PAIR}})
+
+
+def test_ranges_of_a_file_have_all_frames(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    text = []
+    for k in range(40):
+        n = int(rng.integers(0, 6))
+        text += [""] if k == 20 else []
+        text += [str(n), f'Lattice="9 0 0 0 9 0 0 0 9" pbc="T T T" energy={k} Properties=species:S:1:pos:R:3']
+        text += [f"Fe {x[0]:.3f} {x[1]:.3f} {x[2]:.3f}" for x in rng.uniform(0, 9, (n, 3))]
+    path = tmp_path / "many.xyz"
+    path.write_text("\n".join(text) + "\n")
+    want = None
+    for size in (1 << 20, 400, 997):
+        s, a = xyz.read_xyz(spark, str(path), size)
+        got = [(r.structure_id, r.energy, r.n_atoms) for r in s.orderBy("structure_id").collect()]
+        assert [e for _, e, _ in got] == list(range(40)) and a.count() == sum(n for *_, n in got)
+        assert want in (None, got)
+        want = got
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    from atomloom.functions import elements
+
+    s, a = structures(spark, [(cube(6.0), ["Fe", "Ni"], [(0, 0, 0), (2, 0, 0)], {"energy": 1.5})])
+    path = str(tmp_path / "one.xyz")
+    xyz.write_xyz(s, a, path)
+    _, atoms, near = xyz.read_with_neighbours(spark, path, 2.5)
+    assert near.count() == 2 and atoms.count() == 2
+    row = atoms.select(elements.number_of(F.col("species")).alias("z")).withColumn("s", elements.symbol_of(F.col("z"))).orderBy("z").collect()
+    assert [tuple(r) for r in row] == [(26, "Fe"), (28, "Ni")]
+    files.write_doubles(spark, [0.5, -1.25, 3.0], str(tmp_path / "numbers"))
+    assert files.read_doubles(spark, str(tmp_path / "numbers")) == [0.5, -1.25, 3.0]
+    assert files.split("Fe,Ni") == ["Fe", "Ni"] and files.split("") == []
+
+
+def test_missing_screening_coefficients_are_an_error(spark):
+    s, a = structures(spark, [(cube(12.0), ["Fe", "Cu"], [(0, 0, 0), (1.5, 0, 0)], {})])
+    zbl = {"type": "zbl", "cutoff": {"type": "perriot", "cutoff": 2.2, "r_min": 1.2}, "coefficients": {"26,26": [0.2, 3.2, 0.5, 0.9, 0.3, 0.4]}}
+    p, _ = predict(s, a, read_potential(zbl))
+    with pytest.raises(Exception, match="no screening coefficients for Cu Fe"):
+        p.collect()
+
+
+def test_large_model_tables_are_not_broadcast(spark, monkeypatch):
+    from atomloom.plans import session
+
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
+    assert "Broadcast" not in session.driver_table(spark, [("a", 1)], "k string, v int")._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1000)
+    assert "broadcast" in session.driver_table(spark, [("a", 1)], "k string, v int")._jdf.queryExecution().analyzed().toString()
 
 
 def test_unknown_species_is_an_error(spark):
