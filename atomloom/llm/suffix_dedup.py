@@ -67,7 +67,7 @@ SHARD_WORDS = 1 << 20
 SPAN_SCHEMA = "doc_id long, copy long, start_word long, end_word long, first_doc_id long"
 
 
-# ---------------------------------------------------------------- one shard
+# One shard
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -236,7 +236,7 @@ def _runs(repeated: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[new], at[np.concatenate([new[1:], [True]])]
 
 
-# ---------------------------------------------------------------- merging
+# Merging
 
 
 def merge_pair(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -298,7 +298,7 @@ def _merge_task(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(_SPAN, spans)))
 
 
-# ---------------------------------------------------------------- dataflow
+# Dataflow
 
 
 def _anchors(docs: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100, 102: 100}
 
 
-# ---------------------------------------------------------------------- op 8
+# Op 8
 
 
 def brute_repeats(rows):

@@ -13,7 +13,7 @@ from helpers import in_duckdb, rows_of
 
 SF = "/root/testdata/sf0.001"
 
-# -------------------------------------------------------------------- 1: URLs
+# 1: URLs
 
 
 def test_url_filter_against_sql(spark):
@@ -89,7 +89,7 @@ def test_deep_rules_match(spark):
     assert got == {1: ("block", 1), 2: ("review", 2), 3: ("block", 3), 4: ("allow", None), 5: ("allow", None)}
 
 
-# -------------------------------------------------------------------- 3: WARC
+# 3: WARC
 
 
 def records(n=5):
@@ -191,7 +191,7 @@ def test_warc_query_has_all_pages(spark, monkeypatch):
         assert hashlib.sha1(whole.split(b"\r\n\r\n", 1)[1][:-4]).hexdigest() == r.digest
 
 
-# -------------------------------------------------------------------- 10: TIFF
+# 10: TIFF
 
 
 def test_codecs_round_trip():

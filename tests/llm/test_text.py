@@ -33,7 +33,7 @@ def test_words_by_hand():
     assert len(set(seen.values())) == len(seen)
 
 
-# --------------------------------------------------------------- 4: language
+# 4: language
 
 
 def test_language_held_out_accuracy(spark):
@@ -154,7 +154,7 @@ def test_temperature():
     assert language_id.temperature(true * 5, y) == pytest.approx(5, rel=0.15)
 
 
-# ------------------------------------------------------------ 5: token counts
+# 5: token counts
 
 
 def test_counts_match_another_unigram_program(spark):
@@ -235,7 +235,7 @@ def test_count_edges(documents):
     assert token_count.count_tokens(docs.where("false")).count() == 0
 
 
-# ----------------------------------------------------------------- 6: mixing
+# 6: mixing
 
 
 def brute_mix(rows):
@@ -290,7 +290,7 @@ def test_shares_are_within_a_document_of_the_weights(spark):
             assert 0 <= unit * w + w - n <= longest[s] + w
 
 
-# -------------------------------------------------------- 7: decontamination
+# 7: decontamination
 
 
 def test_short_items_are_all_found():
@@ -352,7 +352,7 @@ def test_leaks_in_blocks_of_items(documents, spark, monkeypatch):
     assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [99]
 
 
-# ------------------------------------------------------------- 9: token files
+# 9: token files
 
 
 def test_token_streams_round_trip(documents, spark, tmp_path):
