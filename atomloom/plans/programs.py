@@ -46,7 +46,7 @@ def tabulate_potential(spark: SparkSession, spec: dict):
     grids = Grids.read(spec)
     tables = tabulate(potential, grids, spark)
     prefix = spec["output_file_prefix"]
-    files.write_tables(tables, grids, spec, potential, prefix + ".tabgap")
+    files.write_tables(tables, grids, spec, potential, prefix + ".tables")
     return tables, files.write_eam_fs(tables, grids, prefix)
 
 

@@ -259,7 +259,7 @@ def test_programs_end_to_end(spark, tmp_path):
     lines = open(written[0]).read().split("\n")
     assert lines[3].split() == ["1", "Fe"] and lines[4].split()[0] == "30"
     assert len(lines) == 5 + 1 + 30 + 20 + 20 + 1
-    assert spark.read.parquet(str(tmp_path / "tab.tabgap" / "e0")).first().energy == pytest.approx(-3.0)
+    assert spark.read.parquet(str(tmp_path / "tab.tables" / "e0")).first().energy == pytest.approx(-3.0)
 
 
 def test_fit_order_rules():
