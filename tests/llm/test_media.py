@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -263,6 +264,47 @@ def test_malformed_files():
         list(tiff.pages(bytes(b)))
 
 
+def test_no_tag_ends_a_job():
+    """Any kind and value of any tag gives rows, never an exception."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 255, (9, 7, 3)).astype(np.uint8), np.ones((3, 3, 1), np.uint8)
+    files = [tiff.write([(a, {"compression": c, "rows": 4} | tile), (b, {})], o, big) for c in (1, 5, 8, 32773) for o in "<>" for big in (False, True) for tile in ({}, {"tile": (16, 16)})]
+    errors = 0
+    for n in range(1500):
+        data = bytearray(files[n % len(files)])
+        f = tiff._File(bytes(data))
+        entry, size = (f.first + 8, 20) if f.big else (f.first + 2, 12)
+        e = entry + size * int(rng.integers(0, f.get("Q" if f.big else "H", f.first)))
+        struct.pack_into(f.order + "H", data, e + 2, int(rng.choice([1, 3, 4, 6, 8, 9, 11, 12, 13, 16, 17, 18, 5, 99])))
+        for k in rng.integers(0, size - 4, int(rng.integers(0, 8))):
+            data[e + 4 + int(k)] = int(rng.choice([0, 255, 128, 1, int(rng.integers(0, 256))]))
+        errors += sum(p.error is not None for p in tiff.pages(bytes(data)))
+    assert errors > 500
+
+
+def test_sizes_that_the_data_can_not_fill():
+    good = bytearray(tiff.write([(np.zeros((4, 4, 1), np.uint8), {"compression": 8, "tile": (16, 16)})]))
+    f = tiff._File(bytes(good))
+    for k in range(f.get("H", f.first)):
+        e = f.first + 2 + 12 * k
+        if f.get("H", e) in (322, 323):  # tile sizes of 2**32 - 1
+            struct.pack_into("<I", good, e + 8, (1 << 32) - 1)
+    (p,) = tiff.pages(bytes(good))
+    assert p.error == "a strip or tile is short" and p.pixels is None
+
+
+def test_key_named_like_a_page_column(spark):
+    files = spark.createDataFrame([(1, bytearray(tiff.write([(np.ones((2, 3, 1), np.uint8), {})])))], "width long, f binary")
+    (r,) = tiff.decode(files, "width", "f").collect()
+    assert r.file_width == 1 and (r.width, r.height) == (3, 2)
+
+
+def test_long_url(spark):
+    rules = spark.createDataFrame([(1, "example.com/a/", "block", 1)], "rule_id long, expression string, action string, priority int")
+    pages = spark.createDataFrame([(1, "http://example.com/a/" + "b/" * 200_000 + "?" + "q" * 100_000), (2, "http://" + "x." * 5000 + "example.com/a/b")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.apply_rules(pages, rules).collect()} == {1: "block", 2: "block"}
+
+
 def test_tiff_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()}
     body = {}
