@@ -398,7 +398,7 @@ def _spans(docs: DataFrame, shard_words: int) -> DataFrame:
     twice = cut(places.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "places")
     discard(anchors, repeated)
     n_docs, n_places = twice.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    joined = _numbered(narrow.join(sized(twice, 1, 40 * n_docs + 4 * n_places), "doc_id"))
+    joined = _numbered(narrow.join(sized(twice, 1, 120 * n_docs + 8 * n_places), "doc_id"))
     tasks = max(1, n_places * (SPREAD // 2) >> 20)
     mixed = cut(joined.select("doc_id", "text", "places", "copy").mapInArrow(_solve(tasks, shard_words), "task long, asks binary, run binary"), "runs")
     return _join_spans(mixed.groupBy("task").applyInPandas(_merge_task, SPAN_SCHEMA))
@@ -431,7 +431,7 @@ def drop_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     spans = cut(spans, "spans")
     n, m = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     named = _numbered(plain.withColumn("doc_id", F.col("doc_id").cast("bigint")).where("doc_id is not null"))
-    joined = named.join(sized(spans, 1, 32 * n + 24 * m), (F.col("doc_id") == F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left")
+    joined = named.join(sized(spans, 1, 120 * n + 32 * m), (F.col("doc_id") == F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left")
     at = next(a for a, c in back if c == "text")
     names = [a for a, _ in back]
     cut_texts = joined.select(*names, "spans")

@@ -46,8 +46,8 @@ WORD_MARK = "▁"
 UNKNOWN = 10.0
 #: Characters of a word that have nodes of their own.
 TRIE_DEPTH = 48
-#: A worker starts a new trie when it has so many nodes (about 60 bytes each).
-TRIE_NODES = 4 << 20
+#: A worker starts a new trie when it has so many nodes (about 50 bytes each).
+TRIE_NODES = 2 << 20
 #: Words that go down the trie together.
 WORDS_AT_ONCE = 1 << 16
 
@@ -102,7 +102,7 @@ class Edges:
         if self.n * 2 > len(self.key):
             old = self.key != 0
             old_key, old_child = self.key[old], self.child[old]
-            self._make(1 << (4 * self.n - 1).bit_length())
+            self._make(1 << (2 * self.n).bit_length())
             self._place(old_key, old_child)
         self._place(key, child)
 

@@ -15,7 +15,7 @@ rows fit, and shuffled on the prefix otherwise.
 Defined cases: a null URL or one without a host gets the verdict ``invalid``
 and no rule; a URL that no rule matches gets ``allow`` and no rule; hosts are
 compared in lower case, without user, port or a final dot; a host of digits and
-dots (an IPv4 address) has no suffixes; rules of null or empty expression or
+dots (an IPv4 address) or in brackets (IPv6) has no suffixes; rules of null or empty expression or
 action never match; rules of equal expression are settled by the order above;
 repeated pages each keep their row, null page_ids too; empty tables give empty
 results (with no rules all pages pass); other columns do not matter.
@@ -57,7 +57,7 @@ RULES: Sequence[tuple[int, str, str, int]] = (
         for k, tld in enumerate(("com", "net", "org"))
     ),
 )
-_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 _QUERY = r"^[^?#]*(\?[^#]*)"
 
@@ -78,10 +78,10 @@ def expressions(urls: DataFrame, labels: int = HOST_LABELS, depth: int = PATH_DI
         {
             "path": F.when(F.col("path0") == "", F.lit("/")).otherwise(F.col("path0")),
             "labels": F.split("host", r"\."),
-            "ipv4": F.col("host").rlike(r"^[0-9.]+$"),
+            "address": F.col("host").rlike(r"^([0-9.]+|\[.*)$"),
         }
     )
-    hosts = f"""if(ipv4 or size(labels) <= 2, array(host), concat(array(host),
+    hosts = f"""if(address or size(labels) <= 2, array(host), concat(array(host),
         transform(sequence(greatest(2, size(labels) - {labels - 1}), size(labels) - 1), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))))"""
     dirs = "slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 2, 0))"
     paths = f"""concat(array(concat(path, query), path, '/'),
@@ -135,7 +135,7 @@ u AS (
 v AS (SELECT *, CASE WHEN path0 = '' THEN '/' ELSE path0 END AS path, string_split(host, '.') AS labels FROM u WHERE host <> ''),
 w AS (SELECT *, string_split(path, '/')[2:-2] AS dirs FROM v),
 hp AS (
-  SELECT url, unnest(list_distinct(CASE WHEN len(labels) <= 2 OR regexp_matches(host, '^[0-9.]+$') THEN [host]
+  SELECT url, unnest(list_distinct(CASE WHEN len(labels) <= 2 OR regexp_matches(host, '^([0-9.]+|\\[.*)$') THEN [host]
       ELSE list_concat([host], [array_to_string(labels[i:], '.') FOR i IN range(greatest(2, len(labels) - {HOST_LABELS - 1}), len(labels))]) END)) AS h,
     list_distinct(list_concat([path || query, path, '/'],
       ['/' || array_to_string(dirs[1:k], '/') || '/' FOR k IN range(1, least({PATH_DIRS - 1}, len(dirs)) + 1)])) AS p

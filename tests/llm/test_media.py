@@ -31,13 +31,14 @@ def by_hand(url):
             break
     else:
         host, tail = rest, ""
-    host = host.rsplit("@", 1)[-1].split(":")[0].lower().removesuffix(".")
+    host = host.rsplit("@", 1)[-1]
+    host = (host[: host.index("]") + 1] if host[:1] == "[" else host.split(":")[0]).lower().removesuffix(".")
     tail = tail.split("#")[0]
     path, mark, query = tail.partition("?")
     path = path or "/"
     labels = host.split(".")
     hosts = {host}
-    if not host.replace(".", "").isdigit():
+    if not host.replace(".", "").isdigit() and host[:1] != "[":
         hosts |= {".".join(labels[-n:]) for n in range(2, min(5, len(labels)))}
         if len(labels) > 5:
             hosts.add(".".join(labels[-5:]))
@@ -55,6 +56,7 @@ URLS = [
     "http://localhost/x",
     "http://one.two.three.four.five/",
     "//cdn.example.net./x//y?a=b?c",
+    "http://u@[2001:DB8::1.2.3.4]:8080/a/b",
 ]
 
 
