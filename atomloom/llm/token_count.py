@@ -8,7 +8,7 @@ parameter; the log probability of the piece of rank r is -log(r + 1), Zipf's
 law.  A character that is no piece costs UNKNOWN below the least piece and
 counts as its UTF-8 bytes.
 
-Each worker keeps a trie of the distinct pre-tokens that it has met.  A node is
+Each task keeps a trie of the distinct pre-tokens that it has met.  A node is
 a prefix, with its best (forward) score and the token count of that best
 segmentation, so a prefix is solved once, however many words share it and
 whenever they come; a word's last node has its terminal count.  The distinct
@@ -46,10 +46,10 @@ WORD_MARK = "▁"
 UNKNOWN = 10.0
 #: Characters of a word that have nodes of their own.
 TRIE_DEPTH = 48
-#: A worker starts a new trie when it has so many nodes (about 50 bytes each).
-TRIE_NODES = 2 << 20
+#: A task starts a new trie when it has so many nodes (about 50 bytes each).
+TRIE_NODES = 1 << 20
 #: Words that go down the trie together.
-WORDS_AT_ONCE = 1 << 16
+WORDS_AT_ONCE = 1 << 14
 
 _MODELS: dict[str, dict[str, float]] = {}
 _CHAR_BITS = np.uint64(21)
@@ -292,25 +292,22 @@ class Counter:
         return np.diff(sums[0]), np.diff(sums[1])
 
 
-#: The worker's counters: their tries serve all tasks that the worker runs.
-_COUNTERS: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, carried columns, n_pretokens, n_tokens) of every document."""
     require(docs, "doc_id", "text", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _COUNTERS.setdefault(vocabulary, None) or Counter(vocabulary)
-        _COUNTERS[vocabulary] = count
+        count = Counter(vocabulary)
         for b in batches:
             words, tokens = [], []
-            for i, j in tk.chunks(tk.flat_text(b.column(1))[1], 8 * tk.CHUNK_BYTES):
+            for i, j in tk.chunks(tk.flat_text(b.column(1))[1], 2 * tk.CHUNK_BYTES):
                 w, t = count(b.column(1).slice(i, j - i))
                 words.append(w)
                 tokens.append(t)
             w, t = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, tokens))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(w), pa.array(t)], ["doc_id", *carry, "n_pretokens", "n_tokens"])
+        # Workers live on; what a task has made of the texts doesn't.
+        del count
         tk.release()
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
