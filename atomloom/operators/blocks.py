@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of a dense block before it is reduced.
 BLOCK_ROWS = 8192
@@ -153,7 +154,10 @@ def triangular_factor(observed: DataFrame, atoms: DataFrame, neighbours: DataFra
 
             yield _rows(r, TaskContext.get().partitionId() % TREE[0])
 
-    factors = index_rows(observed, atoms, neighbours, descriptors).repartition("structure_id").sortWithinPartitions("structure_id").mapInArrow(run, "key int, row binary")
+    # A window is sure to get a structure's rows together and in order. A repartition isn't: above
+    # a union of tables that are by structure already, AQE leaves it out, and coalesces each table's shuffle by itself.
+    at = F.row_number().over(Window.partitionBy("structure_id").orderBy("part"))
+    factors = index_rows(observed, atoms, neighbours, descriptors).withColumn("at", at).mapInArrow(run, "key int, row binary")
     for keys in TREE[1:]:
         factors = _step(factors, n, keys)
     rows = [np.frombuffer(x.row, float) for x in factors.collect()]
