@@ -459,7 +459,7 @@ def adjust_set_empty(spark, sf_dir):
 @query
 def supercell_repeat(spark, sf_dir):
     s, a = st.repeat(order_structures(spark, sf_dir), order_atoms(spark, sf_dir), 2, 1, 3)
-    n = a.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 4).alias("sx"), r(F.sum("z"), 4).alias("sz"), F.countDistinct("atom_id").alias("ids"))
+    n = a.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 4).alias("sx"), r(F.sum("z"), 4).alias("sz"), F.size(F.collect_set("atom_id")).cast("bigint").alias("ids"))
     return s.join(n, "structure_id").select("structure_id", "n_atoms", "n", "ids", "sx", "sz", r("energy", 6).alias("energy"), r(st.volume(F.col("lattice"))).alias("volume"))
 
 

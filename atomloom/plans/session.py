@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of files whose rows one task of a shuffle gets.
+PART_BYTES = 2 << 20
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -62,6 +64,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def spread(df: DataFrame, key: str, size: int, part_bytes: int | None = None) -> DataFrame:
+    """Rows by their key in as many tasks as ``size`` bytes of files need, so that a task's memory doesn't grow with the input; few bytes are left to Spark."""
+    n = -(-size // (part_bytes or PART_BYTES))
+    return df if n < 8 else df.repartition(min(n, 20_000), key)
+
+
 def driver_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table of the driver's rows, broadcast if they fit BROADCAST_BYTES and joined by Spark's own choice beyond it."""
     size = sum(_size(x) for row in rows for x in row)
