@@ -64,6 +64,24 @@ def weighted_design(matrix: DataFrame, observed: DataFrame, m: int) -> DataFrame
     return a.unionByName(b)
 
 
+def normal_products(matrix: DataFrame, observed: DataFrame, m: int) -> DataFrame:
+    """(c1, c2, product), c1 <= c2: products of the weighted matrix's columns, the target in column m.
+
+    An observation's entries are gathered in one row of m + 1 numbers, null where
+    there is none, and multiplied there: no row of the matrix meets another in a join.
+    """
+    none = F.lit(None)
+    rows = matrix.select("structure_id", "obs", "col_id", "a", none.cast("double").alias("sigma_inv"), none.cast("double").alias("value"), F.lit(0).alias("seen"))
+    o = observed.select("structure_id", "obs", none.cast("int").alias("col_id"), none.cast("double").alias("a"), "sigma_inv", "value", F.lit(1).alias("seen"))
+    entry = lambda k: F.sum(F.when(F.col("col_id") == k, F.col("a")))
+    wide = rows.unionByName(o).groupBy("structure_id", "obs").agg(*[entry(k).alias(f"a{k}") for k in range(m)], F.max("sigma_inv").alias("sigma_inv"), F.max("value").alias(f"a{m}"), F.max("seen").alias("seen"))
+    wide = wide.where("seen = 1").select(*[(F.col(f"a{k}") * F.col("sigma_inv")).alias(f"a{k}") for k in range(m + 1)])
+    pairs = [(a, b) for a in range(m + 1) for b in range(a, m + 1)]
+    sums = wide.agg(*[F.sum(F.col(f"a{a}") * F.col(f"a{b}")).alias(f"p{a}_{b}") for a, b in pairs])
+    products = F.array(*[F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), F.col(f"p{a}_{b}").alias("product")) for a, b in pairs])
+    return sums.select(F.inline(products)).where("product is not null")
+
+
 def prior_factor(descriptors: dict[str, Descriptor], jitter: float) -> np.ndarray:
     """Upper Cholesky factor of the sparse points' covariance, block by block."""
     m = sum(d.n_sparse() for d in descriptors.values())
@@ -94,7 +112,9 @@ class GapFit:
 
     def fit(self, structures: DataFrame, atoms: DataFrame) -> Gap:
         reach = max(d.reach for d in self.descriptors.values())
-        neighbours = find_neighbours(structures, atoms, reach).persist()
+        neighbours = find_neighbours(structures, atoms, reach)
+        if not all(d.points for d in self.descriptors.values()):  # used once otherwise, and far larger than the atoms
+            neighbours = neighbours.persist()
         try:
             for d in self.descriptors.values():
                 if not d.points:
@@ -182,7 +202,7 @@ class CompositeFit:
 
 def subtract(structures: DataFrame, atoms: DataFrame, potential) -> tuple[DataFrame, DataFrame]:
     """The data without a potential's part; lineage is cut, as fits build on each other."""
-    p, f = predict(structures, atoms, potential)
+    p, f = predict(structures, atoms, potential, once=True)
     s, a = adjust(structures, atoms, p, f, subtract=True, set_empty=False)
     return cut(s), cut(a)
 
