@@ -99,9 +99,10 @@ def density_edges(neighbours: DataFrame, functions: dict[tuple[str, str] | None,
 
 def densities(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     """(structure_id, i, k1, rho): atoms without neighbours have density 0."""
-    rho = edges.groupBy("structure_id", "i").agg(F.sum("rho_in").alias("rho"))
-    base = atoms.select("structure_id", F.col("atom_id").alias("i"), F.col("species").alias("k1"))
-    return base.join(rho, ["structure_id", "i"], "left").withColumn("rho", F.coalesce("rho", F.lit(0.0)))
+    own = F.lit(0.0).alias("rho")
+    base = atoms.select("structure_id", F.col("atom_id").alias("i"), F.col("species").alias("k1"), own)
+    given = edges.select("structure_id", "i", F.col("species_i").alias("k1"), F.col("rho_in").alias("rho"))
+    return base.unionByName(given).groupBy("structure_id", "i", "k1").agg(F.sum("rho").alias("rho"))
 
 
 # The kernel
@@ -445,6 +446,11 @@ class Embedded(Descriptor):
         forces = e.select("structure_id", *_group(spread), F.explode(both).alias("t")).select("structure_id", *_group(spread), "t.*")
         return energy.unionByName(forces)
 
+    def energies(self, atoms: DataFrame, neighbours: DataFrame, points: DataFrame) -> DataFrame:
+        """(structure_id, col_id, energy): the energies of ``terms`` without its forces, whose rows have none."""
+        solved = kernel_sums(densities(atoms, density_edges(neighbours, self.functions)), points, list(self.keys), ["rho"], self.kernel, True)
+        return solved.select("structure_id", "col_id", F.col("s0").alias("energy"))
+
     def index_rows(self, atoms: DataFrame, neighbours: DataFrame) -> list[DataFrame]:
         edges = density_edges(neighbours, self.functions)
         rho = densities(atoms, edges)
