@@ -15,8 +15,8 @@ def grid_cells(points: DataFrame, coordinates: list[str], n_sparse: int, by: lis
     """Points with their cell number on each axis (b0, b1, ...), per category."""
     dims = dimensions or [math.ceil(round(n_sparse ** (1.0 / len(coordinates)), 9))] * len(coordinates)
     bounds = points.groupBy(*by).agg(*[f(c).alias(f"{n}_{k}") for k, c in enumerate(coordinates) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    # One row per category; Spark sees its size when it is there.
-    joined = points.join(bounds, by)
+    # One row per category; without the hint all points would be shuffled to a task per category.
+    joined = points.join(F.broadcast(bounds), by)
     cells = {}
     for k, c in enumerate(coordinates):
         lo = F.col(f"lo_{k}")
