@@ -50,7 +50,26 @@ def test_supercell_holds_no_row_per_atom_in_a_hash_table(spark):
     assert "atom_id" not in "".join(x for x in plan.split("\n") if "HashAggregate(keys" in x).replace("collect_set(atom_id", "")
 
 
-@pytest.mark.parametrize("name", ["supercell_repeat", "fit_solve"])
+@pytest.mark.parametrize("name", ["supercell_repeat", "fit_solve", "normal_matrix", "eam_covariance", "xyz_predict", "composite_fit"])
 def test_many_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(session, "PART_BYTES", 8_000)
     same_as_sql(spark, name)
+
+
+def plan(spark, name):
+    return driver.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matrix_meets_no_other_row(spark):
+    joins = [x for x in plan(spark, "normal_matrix").split("\n") if "Join" in x]
+    assert not [x for x in joins if "obs#" in x]
+
+
+def test_energies_of_densities_need_no_forces(spark):
+    text = plan(spark, "eam_covariance")
+    assert text.count("parquet") <= 2 and "Join LeftOuter" not in text
+
+
+def test_files_are_parsed_once(spark):
+    """What is read of the written files is Parquet."""
+    assert "extxyz" not in plan(spark, "xyz_round_trip")
